@@ -1,9 +1,13 @@
-QUERIES: dict = {}
+"""All queries of the subpackage and their SQL."""
+
+from __future__ import annotations
+
+from . import queries as _queries
 
 
 def queries() -> dict:
-    return {}
+    return dict(_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(_queries.ORACLE)
