@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.times import usable_seconds
-from ..session import table
+from ..session import spread, table
 from .overlap import event_overlaps
+from .mixing import mix
+from .packing import fills, pack_all
 from .survivors import Vote, consensus, survivors
+from .tokens import token_count
 
 
 # ---------------------------------------------------------------------------------- 2: survivors
@@ -84,7 +87,29 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report)}
+# ---------------------------------------------------------------------------------- 7: containers
+def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sizes = documents.select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    kinds = table(spark, sf_dir, "token_containers").where("container_name is not null and capacity_tokens > 0")
+    capacities = {r["container_name"]: r["capacity_tokens"] for r in kinds.orderBy("container_name").collect()}
+    return pack_all(sizes, capacities)
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fills(p7_assignment(spark, sf_dir))
+
+
+# ---------------------------------------------------------------------------------- 8: mixture
+def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report, p7_assignment, p7_fill, p8_chosen, p8_shares)}
 
 _SECOND = """CASE WHEN "timestamp" <= 0 THEN NULL WHEN "timestamp" >= 100000000000000000 THEN "timestamp" // 1000000000
  WHEN "timestamp" >= 100000000000000 THEN "timestamp" // 1000000 WHEN "timestamp" >= 100000000000 THEN "timestamp" // 1000 ELSE "timestamp" END"""
