@@ -10,6 +10,7 @@ from ..session import spread, table
 from .overlap import event_overlaps
 from .mixing import mix
 from .packing import fills, pack_all
+from .spectral import describe, mutual_groups, node_clusters
 from .survivors import Vote, consensus, survivors
 from .tokens import token_count
 
@@ -87,6 +88,19 @@ def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------------- 6: clusters
+def _clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return node_clusters(table(spark, sf_dir, "node_embeddings"), table(spark, sf_dir, "opinion_coordinates"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mutual_groups(_clusters(spark, sf_dir))
+
+
+def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return describe(_clusters(spark, sf_dir))
+
+
 # ---------------------------------------------------------------------------------- 7: containers
 def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -109,7 +123,7 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report, p7_assignment, p7_fill, p8_chosen, p8_shares)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report, p6_found, p6_typical, p7_assignment, p7_fill, p8_chosen, p8_shares)}
 
 _SECOND = """CASE WHEN "timestamp" <= 0 THEN NULL WHEN "timestamp" >= 100000000000000000 THEN "timestamp" // 1000000000
  WHEN "timestamp" >= 100000000000000 THEN "timestamp" // 1000000 WHEN "timestamp" >= 100000000000 THEN "timestamp" // 1000 ELSE "timestamp" END"""
