@@ -10,6 +10,7 @@ from ..session import spread, table
 from .overlap import event_overlaps
 from .mixing import mix
 from .packing import fills, pack_all
+from .pii import redacted, with_pii
 from .spectral import describe, mutual_groups, node_clusters
 from .survivors import Vote, consensus, survivors
 from .tokens import token_count
@@ -123,7 +124,20 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report, p6_found, p6_typical, p7_assignment, p7_fill, p8_chosen, p8_shares)}
+# ---------------------------------------------------------------------------------- 9: personal information
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_pii(documents, table(spark, sf_dir, "name_parts")).select("doc_id", F.explode("pii").alias("s"))
+    return found.select("doc_id", "s.pii_type", "s.pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = with_pii(documents, table(spark, sf_dir, "name_parts"))
+    return found.select("doc_id", redacted(F.col("text"), F.col("pii")).alias("text"), F.size("pii").alias("n_replaced"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p3_found, p3_report, p6_found, p6_typical, p7_assignment, p7_fill, p8_chosen, p8_shares, p9_found, p9_redacted)}
 
 _SECOND = """CASE WHEN "timestamp" <= 0 THEN NULL WHEN "timestamp" >= 100000000000000000 THEN "timestamp" // 1000000000
  WHEN "timestamp" >= 100000000000000 THEN "timestamp" // 1000000 WHEN "timestamp" >= 100000000000 THEN "timestamp" // 1000 ELSE "timestamp" END"""
