@@ -57,8 +57,8 @@ def modularity(layers: DataFrame, partition: DataFrame, resolution: float = 1.0)
     """
     by = community_layers(layers, partition)
     totals = layers.groupBy("layer").agg(F.sum("weight").alias("m"))
-    each = by.join(F.broadcast(totals), "layer").select(_omega() * (resolution * F.col("internal") / F.col("m") - (F.col("degree") / (2 * F.col("m"))) ** 2))
-    return each.agg(F.coalesce(F.sum(each.columns[0]), F.lit(0.0)).alias("modularity"))
+    each = by.join(F.broadcast(totals), "layer").select((_omega() * (resolution * F.col("internal") / F.col("m") - (F.col("degree") / (2 * F.col("m"))) ** 2)).alias("q"))
+    return each.agg(F.coalesce(F.sum("q"), F.lit(0.0)).alias("modularity"))
 
 
 def candidate_communities(edges: DataFrame, partition: DataFrame, hops: int = 2) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .events import message_edges
-from .laplacian import HELD
+from .laplacian import DENSE, HELD, _multiplier
 
 STATE = "node_id bigint, state array<double>"
 
@@ -30,13 +30,20 @@ def signed_neighbour_mean(edges: DataFrame, state: DataFrame) -> DataFrame:
 def spectral_features(edges: DataFrame, n: int, dimension: int, rounds: int = 128, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """``node_id, state``: right singular vectors of the signed adjacency by subspace iteration, and the singular values.
 
-    Every round multiplies a block of driver-held vectors with the distributed adjacency twice and orthogonalises
+    Small adjacencies are decomposed densely. Otherwise every round multiplies a block of driver-held vectors with the distributed adjacency twice and orthogonalises
     it; rounds end early once the subspace is still.
     """
     if n * dimension > HELD:
         raise ValueError("too many numbers for the driver")
-    from .laplacian import _multiplier
-
+    spark = edges.sparkSession
+    if n <= DENSE:
+        rows = edges.select("source", "target", F.signum("sign").alias("v")).toPandas()
+        dense = np.zeros((n, n))
+        for a, b in (("source", "target"), ("target", "source")):
+            np.add.at(dense, (rows[a].to_numpy(), rows[b].to_numpy()), rows["v"].to_numpy())
+        values, vectors = np.linalg.eigh(dense)
+        order = np.argsort(-np.abs(values), kind="stable")[:dimension]
+        return spark.createDataFrame(pd.DataFrame({"node_id": np.arange(n), "state": vectors[:, order].tolist()}), STATE), np.abs(values[order])
     signed = edges.select("source", "target", F.signum("sign").cast("double").alias("c"))
     times, doubled = _multiplier(signed, n)
     degree = np.zeros(n)
@@ -56,7 +63,7 @@ def spectral_features(edges: DataFrame, n: int, dimension: int, rounds: int = 12
     values, vectors = np.linalg.eigh(small)
     order = np.argsort(-np.abs(values))[:dimension]
     x = q @ vectors[:, order]
-    out = edges.sparkSession.createDataFrame(pd.DataFrame({"node_id": np.arange(n), "state": list(x)}), STATE)
+    out = spark.createDataFrame(pd.DataFrame({"node_id": np.arange(n), "state": x.tolist()}), STATE)
     return out, np.abs(values[order])
 
 

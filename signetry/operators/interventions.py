@@ -169,13 +169,13 @@ def resistance_sketch(conducting: DataFrame, solver: Solver, width: int = SKETCH
     n = solver.n
     if n * width > HELD:
         raise ValueError("too many numbers for the driver")
-    words = [F.xxhash64(F.lit(seed), "source", "target", F.lit(k)).alias(f"h{k}") for k in range(-(-width // 64))]
-    hashed = conducting.select("source", "target", "c", *words)
+    n_words = -(-width // 64)
+    hashed = conducting.select("source", "target", "c", *[F.xxhash64(F.lit(seed), "source", "target", F.lit(k)).alias(f"h{k}") for k in range(n_words)])
 
     def partial(frames):
         total = np.zeros((n, width))
         for f in frames:
-            bits = np.concatenate([(f[f"h{k}"].to_numpy()[:, None] >> np.arange(64)) & 1 for k in range(len(words))], axis=1)[:, :width]
+            bits = np.concatenate([(f[f"h{k}"].to_numpy()[:, None] >> np.arange(64)) & 1 for k in range(n_words)], axis=1)[:, :width]
             part = (2.0 * bits - 1) * np.sqrt(f["c"].to_numpy() / width)[:, None]
             np.add.at(total, f["source"].to_numpy(), part)
             np.add.at(total, f["target"].to_numpy(), -part)

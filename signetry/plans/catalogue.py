@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import cleaning
+from . import cleaning, graphs, measures, mitigation, training
 
-MODULES = [cleaning]
-FLAGSHIP = cleaning.p5_nodes
+MODULES = [cleaning, graphs, measures, mitigation, training]
+FLAGSHIP = measures.polarization_report
 
 
 def queries() -> dict:
