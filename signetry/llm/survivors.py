@@ -12,6 +12,7 @@ so that a row of higher standing can't be outvoted by many of lower standing.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -24,6 +25,8 @@ from ..session import stored
 
 BLOCK = 64  # values aligned, or profiles merged, in one step
 GAP = ""
+PENALTY = -0.4  # of a gap, a full match counting 1
+CHUNK = 2000
 
 
 @dataclass(frozen=True)
@@ -58,41 +61,80 @@ def survivors(rows: DataFrame, keys: list[str], votes: list[Vote], at_least: int
 Profile = list[dict[str, float]]
 
 
-def _agreement(a: dict[str, float], b: dict[str, float]) -> float:
-    """Share of vote pairs of two columns that name the same token."""
-    small, large = (a, b) if len(a) <= len(b) else (b, a)
-    shared = sum(w * large.get(t, 0.0) for t, w in small.items() if t != GAP)
-    return shared / (sum(a.values()) * sum(b.values()))
+def _matches(a: Profile, b: Profile) -> np.ndarray:
+    """For every pair of columns the share of vote pairs that name the same token, scaled to -1..1."""
+    where: dict[str, list[tuple[int, float]]] = {}
+    for i, column in enumerate(a):
+        for token, weight in column.items():
+            if token != GAP:
+                where.setdefault(token, []).append((i, weight))
+    out = np.full((len(a), len(b)), -1.0)
+    scale = 2.0 / (sum(a[0].values()) * sum(b[0].values()))
+    for j, column in enumerate(b):
+        for token, weight in column.items():
+            for i, other in where.get(token, ()):
+                out[i, j] += scale * weight * other
+    return out
+
+
+def _merged(a: dict[str, float], b: dict[str, float]) -> dict[str, float]:
+    out = dict(a)
+    for token, weight in b.items():
+        out[token] = out.get(token, 0.0) + weight
+    return out
+
+
+def _same(a: dict[str, float], b: dict[str, float]) -> bool:
+    return len(a) == len(b) == 1 and a.keys() == b.keys()
 
 
 def align(a: Profile, b: Profile) -> Profile:
-    """The two profiles merged along their best global alignment; equal scores prefer a match, then a gap in b."""
+    """The two profiles merged along their best global alignment; equal scores prefer a match, then a gap in b.
+
+    Columns that agree at both ends are matched first. What differs between them is aligned in stretches of at
+    most CHUNK columns, so that very long values take time in proportion to their length.
+    """
+    weight_a, weight_b = (sum(p[0].values()) if p else 0.0 for p in (a, b))
+    head = 0
+    while head < min(len(a), len(b)) and _same(a[head], b[head]):
+        head += 1
+    tail = 0
+    while tail < min(len(a), len(b)) - head and _same(a[-1 - tail], b[-1 - tail]):
+        tail += 1
+    out = [_merged(x, y) for x, y in zip(a[:head], b[:head])]
+    mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
+    for first in range(0, max(len(mid_a), len(mid_b)), CHUNK):
+        out += _aligned(mid_a[first : first + CHUNK], mid_b[first : first + CHUNK], weight_a, weight_b)
+    return out + [_merged(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :])]
+
+
+def _aligned(a: Profile, b: Profile, weight_a: float, weight_b: float) -> Profile:
+    left = lambda c: {**c, GAP: c.get(GAP, 0.0) + weight_b}
+    right = lambda c: {**c, GAP: c.get(GAP, 0.0) + weight_a}
     if not a or not b:
-        weight_a, weight_b = (sum(p[0].values()) if p else 0.0 for p in (a, b))
-        return [{**c, GAP: c.get(GAP, 0.0) + weight_b} for c in a] + [{**c, GAP: c.get(GAP, 0.0) + weight_a} for c in b]
-    n, m, gap = len(a), len(b), -0.4
-    score = np.zeros((n + 1, m + 1))
-    score[:, 0], score[0, :] = gap * np.arange(n + 1), gap * np.arange(m + 1)
-    match = np.array([[2 * _agreement(x, y) - 1 for y in b] for x in a])
+        return [left(c) for c in a] + [right(c) for c in b]
+    n, m = len(a), len(b)
+    match = _matches(a, b)
+    slope = PENALTY * np.arange(m + 1)
+    score = np.empty((n + 1, m + 1))
+    score[0] = slope
     for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            score[i, j] = max(score[i - 1, j - 1] + match[i - 1, j - 1], score[i - 1, j] + gap, score[i, j - 1] + gap)
-    total_a, total_b = sum(a[0].values()), sum(b[0].values())
+        best = score[i - 1] + PENALTY
+        best[1:] = np.maximum(best[1:], score[i - 1, :-1] + match[i - 1])
+        score[i] = slope + np.maximum.accumulate(best - slope)  # gaps in a, carried along the row
     out: Profile = []
     i, j = n, m
+    near = lambda x, y: abs(x - y) < 1e-9
     while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + match[i - 1, j - 1]:
+        if i and j and near(score[i, j], score[i - 1, j - 1] + match[i - 1, j - 1]):
             i, j = i - 1, j - 1
-            column = dict(a[i])
-            for t, w in b[j].items():
-                column[t] = column.get(t, 0.0) + w
-        elif i and score[i, j] == score[i - 1, j] + gap:
+            out.append(_merged(a[i], b[j]))
+        elif i and near(score[i, j], score[i - 1, j] + PENALTY):
             i -= 1
-            column = {**a[i], GAP: a[i].get(GAP, 0.0) + total_b}
+            out.append(left(a[i]))
         else:
             j -= 1
-            column = {**b[j], GAP: b[j].get(GAP, 0.0) + total_a}
-        out.append(column)
+            out.append(right(b[j]))
     return out[::-1]
 
 
@@ -113,37 +155,42 @@ def elected(profile: Profile) -> list[str]:
 
 def distance(a: list[str], b: list[str]) -> int:
     """Token edit distance."""
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        left, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            left, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, left + (x != y))
-    return row[-1]
-
-
-_PROFILE = T.ArrayType(T.MapType(T.StringType(), T.DoubleType()))
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    a, b = a[head:], b[head:]
+    tail = next((i for i, (x, y) in enumerate(zip(reversed(a), reversed(b))) if x != y), min(len(a), len(b)))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    codes: dict[str, int] = {}
+    x, y = (np.array([codes.setdefault(t, len(codes)) for t in s], np.int64) for s in (a, b))
+    steps = np.arange(len(y) + 1)
+    row = steps.copy()
+    for i, token in enumerate(x, 1):
+        best = row + 1
+        best[1:] = np.minimum(best[1:], row[:-1] + (y != token))
+        best[0] = i
+        row = steps + np.minimum.accumulate(best - steps)
+    return int(row[-1])
 
 
-@F.pandas_udf(_PROFILE)
+@F.pandas_udf(T.StringType())
 def _build(values: pd.Series, weights: pd.Series) -> pd.Series:
-    return pd.Series([profile_of(list(v), list(w)) for v, w in zip(values, weights)])
+    return pd.Series([json.dumps(profile_of(list(v), list(w))) for v, w in zip(values, weights)])
 
 
-@F.pandas_udf(_PROFILE)
+@F.pandas_udf(T.StringType())
 def _merge(profiles: pd.Series) -> pd.Series:
-    def merged(parts: np.ndarray) -> Profile:
-        columns = sorted(([dict(c) for c in p] for p in parts), key=lambda p: (-sum(p[0].values()) if p else 0.0, str(p)))
+    def merged(parts) -> str:
+        columns = sorted((json.loads(p) for p in parts), key=lambda p: (-sum(p[0].values()) if p else 0.0, str(p)))
         out = columns[0]
         for p in columns[1:]:
             out = align(out, p)
-        return out
+        return json.dumps(out)
 
     return pd.Series([merged(p) for p in profiles])
 
 
 @F.pandas_udf(T.StringType())
 def _elect(profiles: pd.Series) -> pd.Series:
-    return pd.Series([" ".join(elected([dict(c) for c in p])) for p in profiles])
+    return pd.Series([" ".join(elected(json.loads(p))) for p in profiles])
 
 
 @F.pandas_udf(T.IntegerType())
