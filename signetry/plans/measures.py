@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import l2_normalized
 from ..operators import communities, encoders, laplacian, polarization
+from ..operators.components import largest_component
+from ..operators.events import apply_ids, sorted_ids
 from ..session import stored
 from .inputs import EVENTS_SQL, LABEL_SQL, NODES, STATE_SQL, VECTOR_SQL, rating_graph, short_coordinates, vector_graph, vector_labels, vector_state
 
@@ -55,18 +57,28 @@ def solver_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([("held", gap[0] < 1e-5), ("table", gap[1] < 1e-5)], "solver string, agrees boolean")
 
 
+def _connected(spark: SparkSession, sf_dir: str, positive: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The largest component (of the positive layer) of the vector graph and its nodes' states, numbered from 0."""
+    graph = stored(vector_graph(spark, sf_dir))
+    ids = stored(sorted_ids(largest_component(graph.where("sign > 0") if positive else graph)))
+    state = vector_state(spark, sf_dir).withColumnRenamed("node_id", "raw_id").join(ids, "raw_id").select("node_id", "state")
+    return stored(apply_ids(graph, ids)), stored(state)
+
+
 def polarization_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges, state = stored(vector_graph(spark, sf_dir)), vector_state(spark, sf_dir)
+    edges, state = _connected(spark, sf_dir)
     return polarization.measure(edges, state, 2).unionByName(polarization.measure(edges, state, 8))
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return polarization.sensitivity(stored(vector_graph(spark, sf_dir)), vector_state(spark, sf_dir), 8)
+    edges, state = _connected(spark, sf_dir)
+    return polarization.sensitivity(edges, state, 8)
 
 
 def er_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    opinions = short_coordinates(spark, sf_dir).select("node_id", F.col("value")[0].alias("opinion"))
-    score = polarization.er_baseline(stored(vector_graph(spark, sf_dir)), opinions, NODES)
+    edges, state = _connected(spark, sf_dir, positive=True)
+    opinions = state.select("node_id", F.col("state")[0].alias("opinion"))
+    score = polarization.er_baseline(edges, opinions, state.count())
     return spark.createDataFrame([(score,)], "er_polarization double")
 
 
