@@ -157,3 +157,31 @@ def test_catalogue_is_consistent(spark):
     assert set(sql) <= set(queries) and len(queries) > 90 and all(isinstance(s, str) for s in sql.values())
     first = catalogue.FLAGSHIP(spark, "/root/testdata/sf0.001")
     assert first.count() > 0
+
+
+def test_commands_run_one_after_another(spark, tmp_path):
+    from signetry.__main__ import main
+
+    r = random.Random(3)
+    lines = []
+    for i in range(900):
+        a, b = r.randint(0, 39), r.randint(0, 39)
+        lines.append(f"{a},{b},{(1 if a // 20 == b // 20 else -1) * r.choice([1, 2])},{i}")
+    (tmp_path / "raw.csv").write_text("\n".join(lines))
+    root = f"file://{tmp_path}"
+    data, edges = f"{root}/set", f"{root}/set/train_snapshot_undirected"
+    main(["preprocess", "ra", f"{root}/raw.csv", data])
+    main(["communities", data, "--minimum-size", "2", "--seeds", "2"])
+    assert artifacts.read_record(spark, f"{data}/manifest")["communities"]["selected_k"] >= 1
+    main(["train", edges, f"{root}/state", "--dimension", "6", "--epochs", "10"])
+    main(["measure", edges, f"{root}/state", "--k", "2", "--output", f"{root}/measure"])
+    assert artifacts.read_record(spark, f"{root}/measure")["polarization"] > 0
+    main(["prepare", f"{root}/state", f"{root}/prepared", "--k", "3", "--minimum-size", "2"])
+    main(["sample-candidates", f"{root}/prepared", edges, f"{root}/pool", "--cap", "40"])
+    main(["select", edges, f"{root}/state", f"{root}/pool", f"{root}/selection", "--k", "2", "--rate", "0.02"])
+    main(["materialize", data, f"{root}/selection", f"{root}/augmented", "--rate", "0.02", "--directed"])
+    base = spark.read.parquet(edges).count()
+    assert spark.read.parquet(f"{root}/augmented/augmented_undirected").count() > base
+    main(["random", edges, f"{root}/random", "--rate", "0.02"])
+    main(["evaluate", data, f"{root}/state"])
+    assert spark.read.parquet(f"{root}/random").count() > base
