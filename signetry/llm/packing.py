@@ -124,9 +124,13 @@ def _slots(plan: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
 
 def ranked_by_length(items: DataFrame, counts: dict[int, int], order: list[str]) -> DataFrame:
     """``items`` with ``rank`` from 0 among those of the same ``length``, in blocks, so that no length is one task."""
-    pairs = [x for length, n in counts.items() for x in (F.lit(int(length)), F.lit(-(-n // RANK_BLOCK)))]
-    blocks = F.create_map(*pairs)[F.col("length")] if pairs else F.lit(1)
-    items = items.withColumn("__block", F.pmod(F.xxhash64(*order), F.coalesce(blocks, F.lit(1))).cast("int"))
+    hot = [(int(length), -(-n // RANK_BLOCK)) for length, n in counts.items() if n > RANK_BLOCK]
+    if hot:  # no more rows than there are lengths
+        blocks = items.sparkSession.createDataFrame(hot, "length int, __blocks bigint")
+        items = items.join(F.broadcast(blocks), "length", "left")
+    else:
+        items = items.withColumn("__blocks", F.lit(1))
+    items = items.withColumn("__block", F.pmod(F.xxhash64(*order), F.coalesce("__blocks", F.lit(1))).cast("int")).drop("__blocks")
     sizes = items.groupBy("length", "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.partitionBy("length").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)))
     own = F.row_number().over(Window.partitionBy("length", "__block").orderBy(*order)) - 1
