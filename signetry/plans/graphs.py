@@ -224,6 +224,10 @@ SELECT node_id, other, CAST(min(distance) AS INTEGER) AS distance FROM hops GROU
     "fingerprint": f"""WITH {EVENTS_SQL}, s AS (SELECT count(*) AS n_edges, CAST(sum(CAST(concat('0x', substr(md5(concat_ws(',', source, target, sign)), 1, 13)) AS BIGINT)) AS VARCHAR) AS digest FROM phys)
 SELECT n_edges, digest, sha256(concat_ws('|', 'undirected', n_edges, digest)) AS fingerprint FROM s""",
     "connected_components": f"WITH RECURSIVE {SPARSE_SQL}, {_LCC} SELECT node_id, component FROM labels",
+    "rating_components": f"""WITH RECURSIVE {EVENTS_SQL}, first AS (SELECT min(source) AS component FROM phys),
+reach(node_id) AS (SELECT component FROM first UNION SELECT e.target FROM reach r JOIN (SELECT source, target FROM phys UNION SELECT target, source FROM phys) e ON e.source = r.node_id),
+rest AS (SELECT count(*) AS n FROM (SELECT source FROM phys UNION SELECT target FROM phys) t(node_id) WHERE node_id NOT IN (SELECT node_id FROM reach))
+SELECT component, (SELECT count(*) FROM reach) AS size FROM first, rest WHERE n = 0""",
     "lcc_edges": f"""WITH RECURSIVE {SPARSE_SQL}, {_LCC}, best AS (SELECT component FROM labels GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
 ids AS (SELECT node_id AS raw_id, row_number() OVER (ORDER BY node_id) - 1 AS node_id FROM labels WHERE component IN (SELECT component FROM best))
 SELECT a.node_id AS source, b.node_id AS target, CAST(sign AS INTEGER) AS sign FROM g JOIN ids a ON a.raw_id = source JOIN ids b ON b.raw_id = target""",

@@ -232,6 +232,19 @@ SELECT * FROM e UNION ALL SELECT 'mean', round(avg(polarization), 6), round(avg(
     "prevalence_panel": "SELECT level::INTEGER AS level, sign::INTEGER AS sign, n::BIGINT AS n FROM (VALUES (0, 1, 900), (1, 1, 900), (1, -1, 100), (2, 1, 900), (2, -1, 300)) t(level, sign, n)",
     "held_out_pairs": f"""WITH {_POOL}, train AS ({_ranked(500, 0.8, "5")}), r AS (SELECT source, target, row_number() OVER (ORDER BY md5(concat_ws('|', '9', source, target)), source, target) AS k FROM pool ANTI JOIN train USING (source, target))
 SELECT source, target, CASE WHEN k <= 20 THEN -1 ELSE 1 END AS sign FROM r WHERE k <= 100""",
+    "signed_generator": f"""WITH {_POOL}, pos AS ({_ranked(500, 0.8, "p")}), rest AS (SELECT * FROM pool ANTI JOIN pos USING (source, target)),
+neg AS (SELECT source, target FROM rest QUALIFY row_number() OVER (PARTITION BY same ORDER BY md5(concat_ws('|', 'n', source, target)), source, target) <= CASE WHEN same THEN 10 ELSE 90 END),
+rows_ AS (SELECT source, target, 1 AS sign FROM pos UNION ALL SELECT source, target, -1 FROM neg),
+num AS (SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '1|order', source, target)), source, target) - 1 AS event_id, {uniform_sql("'1|way'", "source", "target")} < 0.5 AS flip FROM rows_)
+SELECT event_id, CASE WHEN flip THEN target ELSE source END AS source, CASE WHEN flip THEN source ELSE target END AS target, CAST(sign AS INTEGER) AS sign, CAST(sign AS DOUBLE) AS weight FROM num""",
+    "generated_opinions": f"""WITH n AS (SELECT range AS node_id, {uniform_sql("'1|u'", "range")} AS u, {uniform_sql("'1|v'", "range")} AS v FROM range({N})),
+s AS (SELECT *, CASE WHEN v < 0.5 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END AS side, greatest(u, 1e-12::DOUBLE) AS t FROM n),
+r AS (SELECT *, side * 0.5::DOUBLE + 0.2::DOUBLE * sqrt(-2 * ln(t)) * cos(2 * pi() * v) + 1 AS w FROM s), f AS (SELECT *, w - 4 * floor(w / 4) AS m FROM r)
+SELECT 'uniform' AS distribution, node_id, round(2 * u - 1, 6) + 0.0 AS opinion FROM s UNION ALL SELECT 'power_law', node_id, round(side * least(pow(t, -1.0::DOUBLE / 1.5) - 1, 1.0), 6) + 0.0 FROM s
+UNION ALL SELECT 'aligned', node_id, round(side * (0.5::DOUBLE + u / 2), 6) + 0.0 FROM s UNION ALL SELECT 'reflected_normal', node_id, round(CASE WHEN m > 2 THEN 4 - m ELSE m END - 1, 6) + 0.0 FROM f""",
+    "node_layout": f"""WITH n AS (SELECT range AS node_id, CAST(range // {N // K} AS INTEGER) AS community, {uniform_sql("'0|turn'", "range")} AS turn, {uniform_sql("'0|far'", "range")} AS far FROM range({N})),
+a AS (SELECT *, 2 * pi() * community / {K} AS angle, 2 * pi() * turn AS t, 0.25::DOUBLE * sqrt(far) AS f FROM n)
+SELECT node_id, community, round(cos(angle) + f * cos(t), 6) + 0.0 AS layout_x, round(sin(angle) + f * sin(t), 6) + 0.0 AS layout_y FROM a""",
     "permuted_opinions": f"""WITH v AS (SELECT range AS node_id, 2 * {uniform_sql("'1|u'", "range")} - 1 AS opinion FROM range({N})), a AS (SELECT opinion, row_number() OVER (ORDER BY opinion, node_id) AS k FROM v), b AS (SELECT node_id, row_number() OVER (ORDER BY md5(concat_ws('|', '50002', node_id)), node_id) AS k FROM v)
 SELECT node_id, round(opinion, 6) + 0.0 AS opinion FROM a JOIN b USING (k)""",
 }
