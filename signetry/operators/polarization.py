@@ -141,11 +141,14 @@ def energy_components(edges: DataFrame, coordinates: DataFrame, n: int, positive
     }
 
 
-def measure(edges: DataFrame, state: DataFrame, k: int, eta: float = NEGATIVE_CONDUCTANCE, alpha: float = ANTAGONISTIC_WEIGHT) -> DataFrame:
-    """One row with the energies and the score of a canonical graph and the node state (node_id, state)."""
+def measure(edges: DataFrame, state: DataFrame, k: int, eta: float = NEGATIVE_CONDUCTANCE, alpha: float = ANTAGONISTIC_WEIGHT, checked: bool = False) -> DataFrame:
+    """One row with the energies and the score of a canonical graph and the node state (node_id, state).
+
+    ``checked`` says that the graph is known to be connected over the nodes 0..n-1.
+    """
     n = state.count()
     coordinates, singular = opinion_coordinates(state, k)
-    record = energy_components(edges, coordinates, n, eta=eta, alpha=alpha) | {"top_singular_value": float(singular[0])}
+    record = energy_components(edges, coordinates, n, eta=eta, alpha=alpha, checked=checked) | {"top_singular_value": float(singular[0])}
     schema = ", ".join(f"{name} {'bigint' if isinstance(v, int) else 'double'}" for name, v in record.items())
     return edges.sparkSession.createDataFrame([tuple(record.values())], schema)
 

@@ -67,7 +67,7 @@ def _connected(spark: SparkSession, sf_dir: str, positive: bool = False) -> tupl
 
 def polarization_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, state = _connected(spark, sf_dir)
-    return polarization.measure(edges, state, 2).unionByName(polarization.measure(edges, state, 8))
+    return polarization.measure(edges, state, 2, checked=True).unionByName(polarization.measure(edges, state, 8, checked=True))
 
 
 def sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,9 @@ def test_fingerprints_ignore_order_but_not_signs(spark):
     assert events.fingerprint(one.limit(0)).first()["n_edges"] == 0
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("local", [0, 10**6])
+def test_components_of_random_graphs(spark, monkeypatch, local):
+    monkeypatch.setattr(components, "LOCAL_EDGES", local)
     r = random.Random(4)
     data = [(r.randint(0, 300), r.randint(0, 300), 1) for _ in range(180)] + [(i, i + 1, 1) for i in range(1000, 1100)] + [(None, 5, 1), (7, 7, 1)]
     parent = {}
