@@ -10,7 +10,7 @@ from ..operators.ranking import global_rank
 from ..session import shared_root, stored, table
 from ..sources.readers import edge_list, monotone_clock, vote_blocks
 from ..streaming.keep_last import start_parquet, streaming_latest
-from .inputs import EVENTS_SQL, SPARSE_SQL, TRADE_SQL, VECTOR_SQL, rating_events, rating_graph, trade_graph, vector_graph
+from .inputs import EVENTS_SQL, SPARSE_SQL, TRADE_SQL, VECTOR_SQL, rating_events, rating_graph, registered, trade_graph, vector_graph
 
 
 def valid_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,15 +175,6 @@ def stream_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{path}/table")
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        valid_ratings, keep_last, keep_last_trade, sequence_ids, first_seen_ids, dense_rank_ids, remapped_edges, node_membership, graph_counts, layer_edges, signed_degree, canonical_degree, message_edges, signed_adjacency,
-        laplacian_coo, negative_laplacian_coo, restore_direction, two_hop_negative, fingerprint, connected_components, rating_components, lcc_edges, spanning_tree_size, split_counts, pair_disjoint, split_snapshot,
-        forward_fill_blocks, edge_list_lines, stream_keep_last,
-    )
-} | {"monotone_clock": monotone_clock_query}
-
 _BOTH = "SELECT source, target, sign FROM {0} UNION ALL SELECT target, source, sign FROM {0}"
 _SEQ = f"WITH {EVENTS_SQL}, seq AS (SELECT row_number() OVER (ORDER BY ts, event_id, source, target, weight) - 1 AS event_id, event_id AS log_id, source, target FROM (SELECT DISTINCT event_id, source, target, weight, ts FROM ev))"
 _NODES = f"WITH {EVENTS_SQL}, nodes AS (SELECT source AS node_id FROM phys UNION SELECT target FROM phys), ids AS (SELECT node_id AS raw_id, row_number() OVER (ORDER BY node_id) - 1 AS node_id FROM nodes)"
@@ -245,3 +236,11 @@ p AS (SELECT line_no, regexp_split_to_array(trim(value), '\s+') AS p FROM r WHER
 SELECT line_no, try_cast(p[1] AS BIGINT) AS source, try_cast(p[2] AS BIGINT) AS target, try_cast(p[3] AS DOUBLE) AS weight FROM p
 WHERE regexp_full_match(p[1], '[+-]?[0-9]+') AND regexp_full_match(p[2], '[+-]?[0-9]+') AND try_cast(p[3] AS DOUBLE) <> 0 AND try_cast(p[1] AS BIGINT) <> try_cast(p[2] AS BIGINT)""",
 }
+
+_QUERIES = [
+    valid_ratings, keep_last, keep_last_trade, sequence_ids, first_seen_ids, dense_rank_ids, remapped_edges, node_membership, graph_counts, layer_edges, signed_degree, canonical_degree, message_edges, signed_adjacency,
+    laplacian_coo, negative_laplacian_coo, restore_direction, two_hop_negative, fingerprint, connected_components, rating_components, lcc_edges, spanning_tree_size, split_counts, pair_disjoint, split_snapshot,
+    forward_fill_blocks, edge_list_lines, stream_keep_last,
+]
+WHOLE = {"signed_adjacency", "two_hop_negative", "spanning_tree_size", "split_counts", "pair_disjoint", "split_snapshot"}
+QUERIES = registered(_QUERIES, ORACLE, WHOLE, set()) | {"monotone_clock": monotone_clock_query}

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_uniform
 from ..functions.times import usable_seconds
-from ..operators.events import canonical_graph, keep_last
-from ..session import table
+from ..operators.components import largest_component
+from ..operators.events import apply_ids, canonical_graph, keep_last, sorted_ids
+from ..operators.interventions import kmeans_communities
+from ..session import stored, table
 
 NODES = 500  # of the vector graph
+COMMUNITIES = 10  # as many as the vectors have labels
 
 SECOND_SQL = """CASE WHEN "timestamp" <= 0 THEN NULL WHEN "timestamp" >= 100000000000000000 THEN "timestamp" // 1000000000
  WHEN "timestamp" >= 100000000000000 THEN "timestamp" // 1000000 WHEN "timestamp" >= 100000000000 THEN "timestamp" // 1000 ELSE "timestamp" END"""
@@ -68,8 +75,74 @@ TRADE_SQL = """trade_ev AS (
 )"""
 
 
+# ---------------------------------------------------------------------------------- whole network
+_RUN: ContextVar[dict | None] = ContextVar("run over the whole network", default=None)
+
+
+def over_network(query: Callable, connected: bool = False) -> Callable:
+    """The query over the whole rating graph and the vectors of its nodes instead of the small vector graph.
+
+    Nodes are numbered from 0; ``connected`` takes the largest component, for solvers.
+    """
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        token = _RUN.set({"connected": connected})
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _RUN.reset(token)
+
+    return run
+
+
+def registered(functions: list[Callable], oracle: dict[str, str], whole: set[str], connected: set[str]) -> dict[str, Callable]:
+    """Queries by name; those in ``whole`` or ``connected`` run over the whole network.
+
+    Where SQL checks the small graph the form over the network stands beside it as ``network_...``.
+    """
+    out = {f.__name__: f for f in functions}
+    for name in [n for n in out if n in whole | connected]:
+        out[f"network_{name}" if name in oracle else name] = over_network(out[name], name in connected)
+    return out
+
+
+def _network(spark: SparkSession, sf_dir: str) -> dict:
+    """What the queries over the network share, made once a run."""
+    run = _RUN.get()
+    if "edges" not in run:
+        graph = stored(rating_graph(spark, sf_dir))
+        nodes = largest_component(graph) if run["connected"] else graph.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
+        run["ids"] = stored(sorted_ids(nodes))
+        run["edges"] = stored(apply_ids(graph, run["ids"]).select("source", "target", "sign"))
+    return run
+
+
+def _network_vectors(spark: SparkSession, sf_dir: str, name: str, width: int) -> DataFrame:
+    """``node_id, v``: a vector for every node of the network.
+
+    Of several different usable vectors the greatest counts; a node without one (missing, of another width, with
+    null or NaN) stands at the mean of the others, so that no node or edge is lost.
+    """
+    run = _network(spark, sf_dir)
+    if name not in run:
+        rows = table(spark, sf_dir, name).select(F.col("node_id").alias("raw_id"), F.col(name).cast("array<double>").alias("v"))
+        fine = rows.where((F.size("v") == width) & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+        own = stored(fine.groupBy("raw_id").agg(F.max("v").alias("v")).join(run["ids"], "raw_id").select("node_id", "v"))
+        mean = own.agg(F.array(*[F.avg(F.col("v")[i]) for i in range(width)]).alias("mean"))  # one row
+        every = run["ids"].select("node_id").join(own, "node_id", "left").join(F.broadcast(mean))
+        run[name] = stored(every.select("node_id", F.coalesce("v", "mean").alias("v")))
+    return run[name]
+
+
+def node_count(spark: SparkSession, sf_dir: str) -> int:
+    return NODES if _RUN.get() is None else _network(spark, sf_dir)["ids"].count()
+
+
 # ---------------------------------------------------------------------------------- vector graph
 def vector_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
+    if _RUN.get() is not None:
+        return _network(spark, sf_dir)["edges"]
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 500 <> l_partkey % 500")
     if sparse:
         lines = lines.where("l_orderkey < 1500")
@@ -100,16 +173,29 @@ SPARSE_SQL = _vector_sql("g", " AND l_orderkey < 1500")
 
 def vector_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``node_id, state`` of the vector graph's nodes."""
+    if _RUN.get() is not None:
+        return _network_vectors(spark, sf_dir, "node_embeddings", 64).withColumnRenamed("v", "state")
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < NODES)
     return rows.select(F.col("vec_id").alias("node_id"), F.col("embedding").cast("array<double>").alias("state"))
 
 
 def short_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``node_id, value``: the first four numbers of the vectors, plain coordinates for queries that SQL checks."""
+    """``node_id, value``: the first four numbers of the vectors, plain coordinates for queries that SQL checks.
+
+    Over the network these are all eight opinion coordinates.
+    """
+    if _RUN.get() is not None:
+        return _network_vectors(spark, sf_dir, "opinion_coordinates", 8).withColumnRenamed("v", "value")
     return vector_state(spark, sf_dir).select("node_id", F.slice("state", 1, 4).alias("value"))
 
 
 def vector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``node_id, community``: the labels of the vectors; over the network, which has none, clusters of the states."""
+    if _RUN.get() is not None:
+        run = _network(spark, sf_dir)
+        if "labels" not in run:
+            run["labels"] = stored(kmeans_communities(vector_state(spark, sf_dir), COMMUNITIES))
+        return run["labels"]
     rows = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < NODES)
     return rows.select(F.col("vec_id").alias("node_id"), F.col("label").cast("int").alias("community"))
 

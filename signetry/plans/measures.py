@@ -11,7 +11,7 @@ from ..operators import communities, encoders, laplacian, polarization
 from ..operators.components import largest_component
 from ..operators.events import apply_ids, sorted_ids
 from ..session import stored
-from .inputs import EVENTS_SQL, LABEL_SQL, NODES, STATE_SQL, VECTOR_SQL, rating_graph, short_coordinates, vector_graph, vector_labels, vector_state
+from .inputs import EVENTS_SQL, LABEL_SQL, STATE_SQL, VECTOR_SQL, node_count, rating_graph, registered, short_coordinates, vector_graph, vector_labels, vector_state
 
 
 def _long(values: DataFrame, name: str = "value") -> DataFrame:
@@ -48,10 +48,11 @@ def solver_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both solvers' results put back into the system: rows whose residual is above 1e-6 in any axis."""
     edges = stored(laplacian.weighted_edges(vector_graph(spark, sf_dir)))
     values = short_coordinates(spark, sf_dir)
-    x = laplacian.held_values(values, NODES)
-    dense = laplacian.Solver(edges, NODES).solve(x - x.mean(0))
-    held = laplacian.Solver(edges, NODES, dense=0).solve(x - x.mean(0))
-    table_ = laplacian.held_values(laplacian.solve_table(edges, values), NODES)
+    n = node_count(spark, sf_dir)
+    x = laplacian.held_values(values, n)
+    dense = laplacian.Solver(edges, n).solve(x - x.mean(0))
+    held = laplacian.Solver(edges, n, dense=0).solve(x - x.mean(0))
+    table_ = laplacian.held_values(laplacian.solve_table(edges, values), n)
     table_ = table_ - table_.mean(0)
     gap = [float(np.abs(dense - other).max()) for other in (held, table_)]
     return spark.createDataFrame([("held", gap[0] < 1e-5), ("table", gap[1] < 1e-5)], "solver string, agrees boolean")
@@ -83,7 +84,7 @@ def er_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tsvd_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    state, values = encoders.spectral_features(vector_graph(spark, sf_dir), NODES, 8)
+    state, values = encoders.spectral_features(vector_graph(spark, sf_dir), node_count(spark, sf_dir), 8)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "rank int, singular_value double").join(state.agg(F.count(F.lit(1)).alias("n_nodes")), how="cross")
 
 
@@ -94,7 +95,7 @@ def signed_neighbor_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def encoder_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = encoders.EncoderConfig(input_dimension=8, output_dimension=8, epochs=20)
-    features = short_coordinates(spark, sf_dir).select("node_id", F.concat("value", "value").alias("state"))
+    features = short_coordinates(spark, sf_dir).select("node_id", F.slice(F.concat("value", "value"), 1, 8).alias("state"))
     return encoders.UndirectedSigned().states(vector_graph(spark, sf_dir), features, config, [0, 1])
 
 
@@ -164,14 +165,6 @@ def rating_degrees_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return communities.layer_degrees(communities.layered(rating_graph(spark, sf_dir)))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        centered_state, gram_matrix, l2_normalized_state, antagonistic_signal, laplacian_product, quadratic_form, solver_residual, polarization_report, sensitivity, er_baseline, tsvd_features, signed_neighbor_mean, encoder_states,
-        signed_modularity, community_layers, community_sizes, packed_communities, candidate_communities, move_gain, induced_graph, flatten_levels, renumbered, mode_first_occurrence, louvain_k, louvain_runs, sweep_communities, rating_degrees_by_layer,
-    )
-}
-
 _BOTH = "both_ AS (SELECT source, target, sign FROM g UNION ALL SELECT target, source, sign FROM g)"
 _COND = "CASE WHEN sign > 0 THEN 1.0::DOUBLE ELSE 0.1::DOUBLE END"
 _SHORT = "c4 AS (SELECT * FROM st WHERE axis < 4)"
@@ -214,3 +207,13 @@ FROM lay JOIN part a ON a.node_id = source JOIN part b ON b.node_id = target GRO
     "rating_degrees_by_layer": f"""WITH {EVENTS_SQL}, b AS (SELECT source, sign FROM phys UNION ALL SELECT target, sign FROM phys)
 SELECT source AS node_id, CASE WHEN sign > 0 THEN 'positive' ELSE 'negative' END AS layer, count(*)::DOUBLE AS degree FROM b GROUP BY ALL""",
 }
+
+_QUERIES = [
+    centered_state, gram_matrix, l2_normalized_state, antagonistic_signal, laplacian_product, quadratic_form, solver_residual, polarization_report, sensitivity, er_baseline, tsvd_features, signed_neighbor_mean, encoder_states,
+    signed_modularity, community_layers, community_sizes, packed_communities, candidate_communities, move_gain, induced_graph, flatten_levels, renumbered, mode_first_occurrence, louvain_k, louvain_runs, sweep_communities, rating_degrees_by_layer,
+]
+WHOLE = {
+    "centered_state", "gram_matrix", "l2_normalized_state", "antagonistic_signal", "laplacian_product", "quadratic_form", "tsvd_features", "signed_neighbor_mean", "encoder_states", "signed_modularity", "community_layers", "community_sizes", "packed_communities", "candidate_communities", "move_gain", "induced_graph", "flatten_levels", "renumbered", "louvain_k", "louvain_runs", "polarization_report", "sensitivity", "er_baseline",
+}
+CONNECTED = {"solver_residual"}
+QUERIES = registered(_QUERIES, ORACLE, WHOLE, CONNECTED)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import interventions as iv
 from ..session import stored
-from .inputs import LABEL_SQL, NODES, STATE_SQL, VECTOR_SQL, short_coordinates, vector_graph, vector_labels, vector_state
+from .inputs import LABEL_SQL, NODES, STATE_SQL, VECTOR_SQL, node_count, registered, short_coordinates, vector_graph, vector_labels, vector_state
 
 MINIMUM = 40
 CAP = 200
@@ -48,25 +48,25 @@ def candidate_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def proposed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for large unions, on the same graph."""
+    """The form for large unions, whatever the size of the union."""
     return iv.candidate_pool(stored(_gray(spark, sf_dir)), vector_labels(spark, sf_dir), vector_graph(spark, sf_dir), CAP, 17, exact=0)
 
 
 def non_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.non_edges(NODES, vector_graph(spark, sf_dir), 100, "7").withColumn("sample_rank", F.col("sample_rank").cast("bigint"))
+    return iv.non_edges(node_count(spark, sf_dir), vector_graph(spark, sf_dir), 100, "7").withColumn("sample_rank", F.col("sample_rank").cast("bigint"))
 
 
 def augment_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     graph = vector_graph(spark, sf_dir).withColumn("weight", F.col("sign").cast("double"))
-    return iv.augment(graph, iv.non_edges(NODES, graph, 100, "7").select("source", "target"))
+    return iv.augment(graph, iv.non_edges(node_count(spark, sf_dir), graph, 100, "7").select("source", "target"))
 
 
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.random_baseline(vector_graph(spark, sf_dir).withColumn("weight", F.col("sign").cast("double")), NODES, 50)
+    return iv.random_baseline(vector_graph(spark, sf_dir).withColumn("weight", F.col("sign").cast("double")), node_count(spark, sf_dir), 50)
 
 
 def edge_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = (iv.non_edges(NODES, vector_graph(spark, sf_dir), n, "7") for n in (100, 150))
+    a, b = (iv.non_edges(node_count(spark, sf_dir), vector_graph(spark, sf_dir), n, "7") for n in (100, 150))
     return iv.edge_jaccard(a, b.where("sample_rank > 50")).select(F.round("jaccard", 6).alias("jaccard"))
 
 
@@ -82,35 +82,27 @@ def _problem(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Da
 
 def greedy_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, coordinates, pool = _problem(spark, sf_dir)
-    return iv.greedy_order(edges, coordinates, pool, 20, NODES)
+    return iv.greedy_order(edges, coordinates, pool, 20, node_count(spark, sf_dir))
 
 
 def greedy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, coordinates, pool = _problem(spark, sf_dir)
-    return iv.prefix_energies(edges, coordinates, stored(iv.greedy_order(edges, coordinates, pool, 20, NODES)), [5, 10, 15, 20], NODES)
+    return iv.prefix_energies(edges, coordinates, stored(iv.greedy_order(edges, coordinates, pool, 20, node_count(spark, sf_dir))), [5, 10, 15, 20], node_count(spark, sf_dir))
 
 
 def batched_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, coordinates, pool = _problem(spark, sf_dir)
-    return iv.batched_greedy(edges, coordinates, pool, 20, 10, NODES, equal=True)
+    return iv.batched_greedy(edges, coordinates, pool, 20, 10, node_count(spark, sf_dir), equal=True)
 
 
 def global_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return iv.global_baseline(stored(vector_graph(spark, sf_dir)), short_coordinates(spark, sf_dir), NODES, 200, 10)
+    return iv.global_baseline(stored(vector_graph(spark, sf_dir)), short_coordinates(spark, sf_dir), node_count(spark, sf_dir), 200, 10)
 
 
 def kmeans_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.kmeans_communities(vector_state(spark, sf_dir), 10, restarts=2).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        retained_communities, community_pairs, centroids, gray_ranking, gray_union, candidate_sample, proposed_candidates, non_edges, augment_edges, random_baseline, edge_jaccard, budget_plan, greedy_order, greedy_curve, batched_greedy, global_baseline,
-        kmeans_communities,
-    )
-}
-
 _RET = f"ret AS (SELECT community, count(*) AS size FROM part GROUP BY community HAVING count(*) >= {MINIMUM}), pairs AS (SELECT a.community AS community_1, b.community AS community_2, a.size AS size_c1, b.size AS size_c2 FROM ret a JOIN ret b ON a.community < b.community)"
 _CEN = "c4 AS (SELECT * FROM st WHERE axis < 4), cen AS (SELECT community, axis, avg(x) AS mean FROM c4 JOIN part USING (node_id) GROUP BY ALL)"
 _GRAY = """dist AS (SELECT c4.node_id, cen.community, sqrt(sum((x - mean) * (x - mean))) AS d FROM c4 JOIN cen USING (axis) GROUP BY ALL),
@@ -144,3 +136,13 @@ FROM one LEFT JOIN g USING (source, target) WHERE g.sign IS NULL QUALIFY sample_
     "budget_plan": f"""WITH {VECTOR_SQL}, n AS (SELECT count(*) AS n FROM g), r AS (SELECT unnest([0.025, 0.05, 0.075, 0.1])::DOUBLE AS rate)
 SELECT rate, CAST(greatest(1, floor(rate * n)) AS BIGINT) AS budget, CAST(20 * greatest(1, floor(0.1::DOUBLE * n)) AS BIGINT) AS candidate_cap FROM r, n""",
 }
+
+_QUERIES = [
+    retained_communities, community_pairs, centroids, gray_ranking, gray_union, candidate_sample, proposed_candidates, non_edges, augment_edges, random_baseline, edge_jaccard, budget_plan, greedy_order, greedy_curve, batched_greedy, global_baseline,
+    kmeans_communities,
+]
+WHOLE = {
+    "retained_communities", "community_pairs", "centroids", "gray_ranking", "candidate_sample", "proposed_candidates", "non_edges", "augment_edges", "random_baseline", "edge_jaccard", "budget_plan", "kmeans_communities",
+}
+CONNECTED = {"greedy_order", "greedy_curve", "batched_greedy", "global_baseline"}
+QUERIES = registered(_QUERIES, ORACLE, WHOLE, CONNECTED)

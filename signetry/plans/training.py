@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_uniform
 from ..operators import learning, synthetic
 from ..session import stored
-from .inputs import NODES, SPLIT_SQL, VECTOR_SQL, short_coordinates, uniform_sql, vector_splits, vector_state
+from .inputs import NODES, SPLIT_SQL, VECTOR_SQL, node_count, registered, short_coordinates, uniform_sql, vector_splits, vector_state
 
 N, K = 200, 4
 
@@ -28,7 +28,7 @@ def forbidden_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def three_class_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = _splits(spark, sf_dir)
-    return learning.three_class_examples(parts["train"], **parts, num_nodes=NODES, seed=3)
+    return learning.three_class_examples(parts["train"], **parts, num_nodes=node_count(spark, sf_dir), seed=3)
 
 
 def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,14 +174,6 @@ def er_panel_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.baseline_report(panel, {"aligned": aligned, "permuted": synthetic.permuted_opinions(aligned, 2)}, N)
 
 
-QUERIES = {
-    f.__name__: f
-    for f in (
-        signed_examples, forbidden_pairs, three_class_examples, label_histogram, endpoint_features, confusion_matrix, class_f1, f1_report, auc_rank, probe_metrics, config_grid, select_config, selected_runs, level_aggregate, spearman, final_report,
-        balanced_communities, sbm_pair_pools, allocation, exact_layer, bernoulli_layer, structural_panel, prevalence_panel, signed_generator, held_out_pairs, generated_opinions, permuted_opinions, node_layout, er_panel_report,
-    )
-}
-
 _EX = "ex AS (SELECT split, source, target, CASE WHEN sign > 0 THEN 1 ELSE 0 END AS label FROM sp)"
 _G = f"{VECTOR_SQL}, {SPLIT_SQL}, {_EX}"
 _RULED = f"ru AS (SELECT *, round({uniform_sql(repr('score'), 'source', 'target')}, 2) AS score, CAST(round({uniform_sql(repr('score'), 'source', 'target')}, 2) > 0.3 AS INTEGER) AS prediction FROM ex)"
@@ -248,3 +240,12 @@ SELECT node_id, community, round(cos(angle) + f * cos(t), 6) + 0.0 AS layout_x,
     "permuted_opinions": f"""WITH v AS (SELECT range AS node_id, 2 * {uniform_sql("'1|u'", "range")} - 1 AS opinion FROM range({N})), a AS (SELECT opinion, row_number() OVER (ORDER BY opinion, node_id) AS k FROM v), b AS (SELECT node_id, row_number() OVER (ORDER BY md5(concat_ws('|', '50002', node_id)), node_id) AS k FROM v)
 SELECT node_id, round(opinion, 6) + 0.0 AS opinion FROM a JOIN b USING (k)""",
 }
+
+_QUERIES = [
+    signed_examples, forbidden_pairs, three_class_examples, label_histogram, endpoint_features, confusion_matrix, class_f1, f1_report, auc_rank, probe_metrics, config_grid, select_config, selected_runs, level_aggregate, spearman, final_report,
+    balanced_communities, sbm_pair_pools, allocation, exact_layer, bernoulli_layer, structural_panel, prevalence_panel, signed_generator, held_out_pairs, generated_opinions, permuted_opinions, node_layout, er_panel_report,
+]
+WHOLE = {
+    "signed_examples", "forbidden_pairs", "three_class_examples", "label_histogram", "endpoint_features", "confusion_matrix", "class_f1", "f1_report", "auc_rank", "probe_metrics", "level_aggregate", "spearman",
+}
+QUERIES = registered(_QUERIES, ORACLE, WHOLE, set())
