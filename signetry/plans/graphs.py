@@ -242,5 +242,5 @@ _QUERIES = [
     laplacian_coo, negative_laplacian_coo, restore_direction, two_hop_negative, fingerprint, connected_components, rating_components, lcc_edges, spanning_tree_size, split_counts, pair_disjoint, split_snapshot,
     forward_fill_blocks, edge_list_lines, stream_keep_last,
 ]
-WHOLE = {"signed_adjacency", "two_hop_negative", "spanning_tree_size", "split_counts", "pair_disjoint", "split_snapshot"}
+WHOLE = {"signed_adjacency", "two_hop_negative", "spanning_tree_size", "split_counts", "pair_disjoint", "split_snapshot", "connected_components", "lcc_edges"}
 QUERIES = registered(_QUERIES, ORACLE, WHOLE, set()) | {"monotone_clock": monotone_clock_query}

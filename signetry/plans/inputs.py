@@ -142,7 +142,7 @@ def node_count(spark: SparkSession, sf_dir: str) -> int:
 # ---------------------------------------------------------------------------------- vector graph
 def vector_graph(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     if _RUN.get() is not None:
-        return _network(spark, sf_dir)["edges"]
+        return rating_graph(spark, sf_dir) if sparse else _network(spark, sf_dir)["edges"]
     lines = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_orderkey % 500 <> l_partkey % 500")
     if sparse:
         lines = lines.where("l_orderkey < 1500")

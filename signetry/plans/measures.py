@@ -156,9 +156,9 @@ def louvain_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sweep_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = stored(vector_graph(spark, sf_dir, sparse=True))
+    edges = stored(rating_graph(spark, sf_dir))
     nodes = edges.select(F.explode(F.array("source", "target")).alias("node_id")).distinct()
-    return communities.sweep_communities(edges, nodes, sweeps=4).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
+    return communities.sweep_communities(edges, nodes).groupBy("community").agg(F.count(F.lit(1)).alias("size"))
 
 
 def rating_degrees_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:

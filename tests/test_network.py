@@ -29,3 +29,14 @@ def test_nodes_without_a_usable_vector_stand_at_the_mean(spark, tmp_path):
     rows = inputs.over_network(inputs.short_coordinates)(spark, str(tmp_path)).collect()
     assert {r["node_id"]: r["value"][0] for r in rows} == {0: 1.0, 1: 3.0, 2: 2.0, 3: 2.0}
     assert inputs._RUN.get() is None
+
+
+def test_components_of_the_whole_table_and_of_a_disconnected_one(spark, n_nodes, tmp_path):
+    q = entry.queries()
+    assert q["network_connected_components"](spark, SF).count() == n_nodes
+    assert q["sweep_communities"](spark, SF).agg({"size": "sum"}).first()[0] == n_nodes
+    log = [(0, 5, 7, 1.0, 1), (1, 2, 5, -1.0, 1), (2, 11, 12, 1.0, 1)]
+    spark.createDataFrame(log, "event_id bigint, source bigint, target bigint, weight double, timestamp bigint").write.parquet(f"{tmp_path}/train_events.parquet")
+    labels = {r["node_id"]: r["component"] for r in q["network_connected_components"](spark, str(tmp_path)).collect()}
+    assert labels == {2: 2, 5: 2, 7: 2, 11: 11, 12: 11}
+    assert {(r["source"], r["target"], r["sign"]) for r in q["network_lcc_edges"](spark, str(tmp_path)).collect()} == {(0, 1, -1), (1, 2, 1)}
