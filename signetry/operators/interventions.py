@@ -16,6 +16,7 @@ from .polarization import ANTAGONISTIC_WEIGHT, antagonistic_signal
 
 PAIRS = 20_000  # community pairs at most, so that they may be broadcast
 EXACT_UNION = 20_000_000
+PROPOSALS = 1_000_000  # at least, and 1000 for each wanted candidate
 SKETCH = 128
 SKETCH_SEED = 2026
 CANDIDATE_COLUMNS = ("source", "target", "community_1", "community_2", "edge_type")
@@ -95,30 +96,46 @@ def gray_contexts(gray: DataFrame, partition: DataFrame) -> DataFrame:
 def candidate_pool(gray: DataFrame, partition: DataFrame, occupied: DataFrame, cap: int, seed: int, exact: int = EXACT_UNION) -> DataFrame:
     """``source, target, community_1, community_2, edge_type, sample_rank``: a uniform sample of the free candidate edges.
 
-    As long as the contexts number at most ``exact`` they are all made and the pairs ordered by a hash. A larger
-    union is never made: node pairs are proposed by hashes, joined to their gray zones, and those with a context
-    kept. Each pair has one of its contexts, chosen by a hash.
+    As long as the contexts number at most ``exact`` they are all made and the pairs ordered by a hash. For a larger
+    union node pairs are proposed by hashes, joined to their gray zones, and those with a context kept, in rounds
+    until ``cap`` are free; only if the proposals end before that the union is made after all. Each pair has one of
+    its contexts, chosen by a hash.
     """
     taken = occupied.select(pair_low().alias("source"), pair_high().alias("target")).distinct()
     n_gray = gray.groupBy("community_1", "community_2").agg(F.count(F.lit(1)).alias("g"))
     sizes = partition.groupBy("community").agg(F.count(F.lit(1)).alias("s"))
     a, b = sizes.select(F.col("community").alias("community_1"), F.col("s").alias("s1")), sizes.select(F.col("community").alias("community_2"), F.col("s").alias("s2"))
     union = n_gray.join(a, "community_1").join(b, "community_2").agg(F.sum(F.col("g") * (F.col("g") / 2 + F.col("s1") + F.col("s2")))).first()[0] or 0
-    contexts = gray_contexts(gray, partition) if union <= exact else _proposed_contexts(gray, partition, cap, seed)
     key = hash_key(f"{seed}|context", "source", "target", "community_1", "community_2", "edge_type")
-    chosen = contexts.groupBy("source", "target").agg(F.min_by(F.struct("community_1", "community_2", "edge_type"), key).alias("c")).select("source", "target", "c.*")
-    free = chosen.join(taken, ["source", "target"], "left_anti").withColumn("__key", hash_key(seed, "source", "target"))
-    first = free.orderBy("__key", "source", "target").limit(cap)
+
+    def free(contexts: DataFrame) -> DataFrame:
+        chosen = contexts.groupBy("source", "target").agg(F.min_by(F.struct("community_1", "community_2", "edge_type"), key).alias("c")).select("source", "target", "c.*")
+        return chosen.join(taken, ["source", "target"], "left_anti").withColumn("__key", hash_key(seed, "source", "target"))
+
+    pool = None
+    start, stop, most = 0, 50 * cap, max(PROPOSALS, 1000 * cap)
+    while union > exact:
+        drawn = free(_proposed_contexts(gray, partition, start, stop, seed))
+        pool = stored(drawn if pool is None else pool.unionByName(drawn).distinct())
+        if pool.count() >= cap:
+            break
+        if stop >= most:
+            pool = None
+            break
+        start, stop = stop, min(2 * stop, most)
+    if pool is None:
+        pool = free(gray_contexts(gray, partition))
+    first = pool.orderBy("__key", "source", "target").limit(cap)
     rank = F.row_number().over(Window.orderBy("__key", "source", "target"))  # at most cap rows
     return first.withColumn("sample_rank", rank).drop("__key")
 
 
-def _proposed_contexts(gray: DataFrame, partition: DataFrame, cap: int, seed: int) -> DataFrame:
-    """Contexts of hashed node pairs, 50 proposals per wanted candidate."""
+def _proposed_contexts(gray: DataFrame, partition: DataFrame, start: int, stop: int, seed: int) -> DataFrame:
+    """Contexts of the hashed node pairs ``start`` to ``stop``."""
     n = partition.count()
     spark = partition.sparkSession
     pick = lambda salt: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt)), F.lit(n))
-    drawn = spark.range(50 * cap).select(F.least(pick(1), pick(2)).alias("source"), F.greatest(pick(1), pick(2)).alias("target")).where("source < target").distinct()
+    drawn = spark.range(start, stop).select(F.least(pick(1), pick(2)).alias("source"), F.greatest(pick(1), pick(2)).alias("target")).where("source < target").distinct()
     keys = ["community_1", "community_2"]
     out = None
     for g, h in (("source", "target"), ("target", "source")):
