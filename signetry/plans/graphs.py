@@ -153,9 +153,19 @@ def forward_fill_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vote_blocks(rows.select(F.col("event_type").alias("file"), F.col("event_id").alias("line_no"), parts.alias("p")))
 
 
-def edge_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "raw_rating_lines")
-    lines = rows.select(F.col("line_id").alias("line_no"), F.translate(F.col("raw_line"), ",\r", "  ").alias("value"))
+    return rows.select(F.col("line_id").alias("line_no"), F.translate(F.col("raw_line"), ",\r", "  ").alias("value"))
+
+
+def edge_list_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of every line; what does not parse is rejected by the reader alone."""
+    return edge_list(_lines(spark, sf_dir))
+
+
+def edge_list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges of the lines that the SQL splits alike: no quote, printable ASCII only."""
+    lines = _lines(spark, sf_dir)
     return edge_list(lines.where(~F.col("value").contains('"') & ~F.col("value").rlike(r"[^\x20-\x7e]")))
 
 
@@ -240,7 +250,7 @@ WHERE regexp_full_match(p[1], '[+-]?[0-9]+') AND regexp_full_match(p[2], '[+-]?[
 _QUERIES = [
     valid_ratings, keep_last, keep_last_trade, sequence_ids, first_seen_ids, dense_rank_ids, remapped_edges, node_membership, graph_counts, layer_edges, signed_degree, canonical_degree, message_edges, signed_adjacency,
     laplacian_coo, negative_laplacian_coo, restore_direction, two_hop_negative, fingerprint, connected_components, rating_components, lcc_edges, spanning_tree_size, split_counts, pair_disjoint, split_snapshot,
-    forward_fill_blocks, edge_list_lines, stream_keep_last,
+    forward_fill_blocks, edge_list_all_lines, edge_list_lines, stream_keep_last,
 ]
 WHOLE = {"signed_adjacency", "two_hop_negative", "spanning_tree_size", "split_counts", "pair_disjoint", "split_snapshot", "connected_components", "lcc_edges"}
 QUERIES = registered(_QUERIES, ORACLE, WHOLE, set()) | {"monotone_clock": monotone_clock_query}

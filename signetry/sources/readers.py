@@ -116,7 +116,7 @@ def read_edge_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edge_list(rows: DataFrame) -> DataFrame:
-    parts = F.split(F.trim("value"), r"\s+")
+    parts = F.split(F.regexp_replace("value", r"^\s+", ""), r"\s+")
     number = lambda i: F.try_element_at(parts, F.lit(i)).cast("string")
     out = rows.where(~F.col("value").startswith("#")).select("line_no", number(1).alias("s"), number(2).alias("t"), number(3).alias("w"))
     out = out.select("line_no", F.expr("try_cast(s as bigint)").alias("source"), F.expr("try_cast(t as bigint)").alias("target"), F.expr("try_cast(w as double)").alias("weight"))
