@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import random
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -117,13 +118,13 @@ def renumbered(partition: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------- synchronous sweeps
-def sweep_communities(edges: DataFrame, nodes: DataFrame, sweeps: int = PASSES, hops: int = 2, epsilon: float = EPSILON) -> DataFrame:
+def sweep_communities(edges: DataFrame, nodes: DataFrame, sweeps: int = PASSES, hops: int = 2, epsilon: float = EPSILON, seed: int = 0) -> DataFrame:
     """``node_id, community`` after synchronous sweeps from singletons, for graphs beyond one worker."""
     layers = stored(layered(edges))
     partition = stored(nodes.select("node_id", F.col("node_id").alias("community")))
     quality = modularity(layers, partition).first()[0]
     for sweep in range(sweeps):
-        moving = F.pmod(F.xxhash64("node_id", F.lit(sweep // 2)), F.lit(2)) == sweep % 2
+        moving = F.pmod(F.xxhash64("node_id", F.lit(sweep // 2 + 1000 * seed)), F.lit(2)) == sweep % 2
         gains = move_gains(edges, partition, hops=hops).where(F.round("gain", 9) > 0).where(moving)
         best = gains.groupBy("node_id").agg(F.max(F.struct(F.round("gain", 9).alias("g"), (-F.col("community")).alias("c"))).alias("b"))
         moves = best.select("node_id", (-F.col("b.c")).alias("to"))
@@ -137,6 +138,24 @@ def sweep_communities(edges: DataFrame, nodes: DataFrame, sweeps: int = PASSES,
     return partition
 
 
+def swept_louvain(edges: DataFrame, seed: int) -> tuple[DataFrame, float]:
+    """Communities of signed edges by synchronous sweeps and coarsening as tables, and their modularity."""
+    level = stored(edges.where("sign <> 0").select("source", "target", "sign"))
+    layers = stored(layered(level))
+    member = stored(level.select(F.explode(F.array("source", "target")).alias("node_id")).distinct().withColumn("community", F.col("node_id")))
+    quality = modularity(layers, member).first()[0]
+    while True:
+        home = sweep_communities(level, member.select(F.col("community").alias("node_id")).distinct(), seed=seed)
+        following = stored(flatten([member, home]))
+        after = modularity(layers, following).first()[0]
+        if after - quality < EPSILON:
+            return renumbered(member), quality
+        sign = F.when(F.col("layer") == "positive", 1).otherwise(-1).alias("sign")
+        level = stored(induced_graph(layered(level), home).select("source", "target", sign, "weight"))
+        discard(member)
+        member, quality = following, after
+
+
 # ---------------------------------------------------------------------------------- one worker per seed
 class _Level:
     """Layers of one level as adjacency lists with loops counted apart."""
@@ -242,11 +261,12 @@ def local_louvain(edges: list[tuple[int, int, int]], nodes: list[int], seed: int
 
 
 def louvain_runs(edges: DataFrame, seeds: list[int]) -> DataFrame:
-    """``seed, node_id, community, modularity`` of independent runs, one worker each, for graphs that fit on one."""
+    """``seed, node_id, community, modularity`` of independent runs: one worker each, beyond LOCAL_EDGES sweeps of joins."""
     spark = edges.sparkSession
-    rows = [tuple(r) for r in edges.where("sign <> 0").select("source", "target", "sign").orderBy("source", "target").limit(LOCAL_EDGES + 1).collect()]
-    if len(rows) > LOCAL_EDGES:
-        raise ValueError("too many edges for one worker; use sweep_communities")
+    if edges.where("sign <> 0").limit(LOCAL_EDGES + 1).count() > LOCAL_EDGES:
+        runs = [(s, *swept_louvain(edges, s)) for s in seeds]
+        return reduce(DataFrame.unionByName, [m.select(F.lit(s).alias("seed"), "node_id", "community", F.lit(q).alias("modularity")) for s, m, q in runs])
+    rows = [tuple(r) for r in edges.where("sign <> 0").select("source", "target", "sign").orderBy("source", "target").collect()]
     nodes = sorted({x for u, v, _ in rows for x in (u, v)})
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
