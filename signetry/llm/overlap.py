@@ -16,53 +16,71 @@ from ..functions.times import usable_seconds
 from ..session import stored
 
 SECONDS_APART = 120
+GRIDS = 3  # of time; at most 4, whose number fits the last bits of a shingle
 BROADCAST_ROWS = 300_000  # of two BIGINT columns
 
 
-def _ranked(records: DataFrame, key: str, frequency: DataFrame) -> DataFrame:
-    """The shingles of each record, the rarest first; those no evaluation record has come before all others."""
-    each = records.select(key, F.explode("shingles").alias("shingle")).join(frequency, "shingle", "left")
-    item = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle")
-    ranked = each.groupBy(key).agg(F.array_sort(F.collect_list(item)).alias("__items"))
-    return records.drop("shingles").join(ranked.select(key, F.col("__items.shingle").alias("shingles")), key)
+def _ranked(records: DataFrame, frequency: DataFrame) -> DataFrame:
+    """``record, size, shingles``: the shingles of each record that some evaluation record has, the rarest first.
 
+    ``size`` counts all shingles of the record. Those no evaluation record has would come before all others and
+    can't be shared, so only their number matters. Rows repeated as they were become one record.
+    """
+    identity = F.struct(*[c for c in records.columns if c != "shingles"])
+    own = F.array_distinct(F.array_compact("shingles"))
+    each = records.select(identity.alias("record"), own.alias("own")).select("record", F.size("own").alias("size"), F.explode("own").alias("shingle"))
+    known = each.join(frequency, "shingle").groupBy("record")
+    ranked = known.agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("items"))
+    return ranked.select("record", "size", F.col("items.shingle").alias("shingles"))
+
+
+def _needed(size: Column, overlap: int | None, jaccard: float | None) -> Column:
+    return F.lit(overlap) if overlap else F.ceil(F.lit(jaccard) * size - 1e-9).cast("int")
+
+
+def _prefixes(ranked: DataFrame, side: str, overlap: int | None, jaccard: float | None) -> DataFrame:
+    """One row per prefix shingle, with its place among all shingles of the record, the absent ones coming first."""
+    absent = F.col("size") - F.size("shingles")
+    length = F.col("size") - _needed(F.col("size"), overlap, jaccard) + 1 - absent
+    able = ranked.where(F.size("shingles") >= _needed(F.col("size"), overlap, jaccard))
+    first = able.select("*", absent.alias("absent"), F.slice("shingles", F.lit(1), F.greatest(length, F.lit(0))).alias("prefix"))
+    at = first.select(F.struct("record", "shingles").alias(side), F.col("size").alias(f"{side}_size"), "absent", F.posexplode("prefix").alias("at", "shingle"))
+    return at.withColumn(f"{side}_at", F.col("absent") + F.col("at")).drop("absent", "at")
 
-def prefix_join(train: DataFrame, evaluation: DataFrame, overlap: int | None = None, jaccard: float | None = None) -> DataFrame:
-    """Pairs of a training and an evaluation record with at least ``overlap`` common shingles, or that similarity.
 
-    Both tables have ``key`` (unique), ``shingles`` (an array of any orderable type, each once) and any other
-    columns; the result has theirs as structs ``train`` and ``evaluation``. Null and empty arrays match nothing.
-    With an overlap of 1 every shingle belongs to the prefix and a common one is proof, so neither frequencies
-    nor a verification are needed.
+def prefix_candidates(train: DataFrame, evaluation: DataFrame, overlap: int | None = None, jaccard: float | None = None) -> DataFrame:
+    """Pairs that share a prefix shingle and that neither their sizes nor its places rule out, before verification.
+
+    ``train, evaluation`` are structs of ``record`` (all columns but ``shingles``) and the ranked ``shingles``,
+    ``least`` is the number of common shingles the pair needs.
     """
     if (overlap is None) == (jaccard is None):
         raise ValueError("give either overlap or jaccard")
-    train, evaluation = (t.where(F.size("shingles") > 0) for t in (train, evaluation))
-    single = overlap == 1
-    if not single:
-        frequency = evaluation.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-        train, evaluation = _ranked(train, "key", frequency), _ranked(evaluation, "key", frequency)
-
-    def needed(size: Column) -> Column:
-        return F.lit(overlap) if overlap else F.ceil(F.lit(jaccard) * size - 1e-9).cast("int")
-
-    def prefixes(records: DataFrame, side: str) -> DataFrame:
-        size = F.size("shingles")
-        first = F.col("shingles") if single else F.slice("shingles", F.lit(1), F.greatest(size - needed(size) + 1, F.lit(0)))
-        whole = F.struct(*[c for c in records.columns if c != "shingles" or not single])
-        return records.select(whole.alias(side), size.alias(f"{side}_size"), F.posexplode(first).alias(f"{side}_at", "shingle"))
-
-    pairs = prefixes(train, "train").join(prefixes(evaluation, "evaluation"), "shingle")
-    if single:
-        return pairs.select("train", "evaluation")
+    frequency = evaluation.select(F.explode(F.array_distinct("shingles")).alias("shingle")).where("shingle is not null")
+    frequency = frequency.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    probe = _prefixes(_ranked(train, frequency), "train", overlap, jaccard)
+    index = _prefixes(_ranked(evaluation, frequency), "evaluation", overlap, jaccard)
+    pairs = probe.join(index, "shingle")
     a, b = F.col("train_size"), F.col("evaluation_size")
-    least = F.lit(overlap) if overlap else F.ceil((a + b) * F.lit(jaccard / (1 + jaccard)) - 1e-9)
     if jaccard:
         pairs = pairs.where((a >= b * jaccard - 1e-9) & (b >= a * jaccard - 1e-9))
+    least = F.lit(overlap) if overlap else F.ceil((a + b) * F.lit(jaccard / (1 + jaccard)) - 1e-9).cast("int")
     pairs = pairs.where(1 + F.least(a - F.col("train_at") - 1, b - F.col("evaluation_at") - 1) >= least)
-    pairs = pairs.select("train", "evaluation", least.alias("least")).dropDuplicates(["train", "evaluation"])
-    common = F.size(F.array_intersect("train.shingles", "evaluation.shingles"))
-    return pairs.where(common >= F.col("least")).select("train", "evaluation")
+    return pairs.select("train", "evaluation", "shingle", least.alias("least"))
+
+
+def prefix_join(train: DataFrame, evaluation: DataFrame, overlap: int | None = None, jaccard: float | None = None) -> DataFrame:
+    """Pairs of a training and an evaluation record with at least ``overlap`` common shingles, or that similarity.
+
+    Both tables have ``shingles`` (an array of any orderable type) and any other columns, which together are the
+    record; the result has them as structs ``train`` and ``evaluation``, each pair once. Null and empty arrays
+    match nothing, null and repeated shingles don't count, an empty table gives no rows. A pair that shares
+    several prefix shingles is taken at the first of them, so nothing has to be made distinct.
+    """
+    pairs = prefix_candidates(train, evaluation, overlap, jaccard)
+    common = F.array_intersect("train.shingles", "evaluation.shingles")
+    verified = pairs.where((F.size(common) >= F.col("least")) & (common[0] == F.col("shingle")))
+    return verified.select(F.col("train.record").alias("train"), F.col("evaluation.record").alias("evaluation"))
 
 
 def node_aliases(mapping: DataFrame) -> DataFrame:
@@ -98,28 +116,28 @@ def canonical_events(events: DataFrame, aliases: DataFrame, few: bool) -> DataFr
 def event_overlaps(train: DataFrame, splits: dict[str, DataFrame], mapping: DataFrame, apart: int = SECONDS_APART) -> DataFrame:
     """``split_name, train_event_id, eval_event_id, low, high, seconds_apart`` of all overlaps.
 
-    An event's shingle is its node pair with a cell of time as wide as ``apart``. A training event has the one
-    of its own cell, an evaluation event also the cells beside it, so events at most ``apart`` seconds from each
-    other share one shingle, and the exact difference decides. Hot pairs are split by their cells. Rows repeated
-    as they were give the overlap once. Null or unusable endpoints and timestamps overlap with nothing.
+    Time is cut by GRIDS grids of cells GRIDS * (apart + 1) wide, each shifted by apart + 1 against the one before.
+    An event has one shingle per grid, its node pair with its cell. Between two events at most ``apart`` seconds
+    from each other lies the border of one grid at most, so they share all shingles but one, which is the overlap
+    asked for; the exact difference decides. Hot pairs are split by their cells. Rows repeated as they were give
+    the overlap once. Null or unusable endpoints and timestamps overlap with nothing.
     """
     aliases = stored(node_aliases(mapping))
     few = aliases.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    cell = F.expr(f"second div {apart + 1}")
 
-    def shingles(events: DataFrame, reach: int) -> DataFrame:
-        cells = [F.struct("low", "high", (cell + k).alias("cell")) for k in range(-reach, reach + 1)]
-        return events.withColumn("shingles", F.array(*cells))
+    def shingled(events: DataFrame) -> DataFrame:
+        cells = [F.expr(f"(second + {k * (apart + 1)}) div {GRIDS * (apart + 1)}") for k in range(GRIDS)]
+        hashed = [F.shiftleft(F.xxhash64("low", "high", c), 2).bitwiseOR(F.lit(k).cast("bigint")) for k, c in enumerate(cells)]
+        return events.withColumn("shingles", F.array(*hashed))  # the grid in the last bits, so that grids never meet
 
     evaluation = None
     for name, events in splits.items():
-        own = canonical_events(events, aliases, few).distinct().withColumn("split_name", F.lit(name))
+        own = canonical_events(events, aliases, few).withColumn("split_name", F.lit(name))
         evaluation = own if evaluation is None else evaluation.unionByName(own)
-    probe = shingles(canonical_events(train, aliases, few), 0).drop("low", "high")
-    index = shingles(evaluation, 1)
-    pairs = prefix_join(probe, index, overlap=1)
+    pairs = prefix_join(shingled(canonical_events(train, aliases, few)), shingled(evaluation), overlap=GRIDS - 1)
     difference = F.abs(F.col("train.second") - F.col("evaluation.second"))
-    out = pairs.where(difference <= apart).select(
+    same = (F.col("train.low") == F.col("evaluation.low")) & (F.col("train.high") == F.col("evaluation.high"))
+    out = pairs.where(same & (difference <= apart)).select(
         "evaluation.split_name",
         F.col("train.event_id").alias("train_event_id"),
         F.col("evaluation.event_id").alias("eval_event_id"),

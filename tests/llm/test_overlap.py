@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from signetry.llm.overlap import event_overlaps, node_aliases, prefix_join
+from signetry.llm.overlap import event_overlaps, node_aliases, prefix_candidates, prefix_join
 
 EVENTS = "event_id bigint, source bigint, target bigint, sign int, timestamp bigint, extra string, low string"
 T0 = 1_400_000_000
@@ -80,3 +80,32 @@ def test_prefix_join_equals_all_pairs(spark):
                     if common >= args["overlap"] if "overlap" in args else common / len(set(s) | set(t)) >= args["jaccard"] - 1e-12:
                         want.add((k, j))
         assert got == want, args
+
+
+def test_each_filter_keeps_pairs_from_the_verification(spark):
+    """Of the evaluation records' shingles r1, r2 and z occur once, c9 twice, c0 to c8 three times."""
+    schema, common = "key bigint, shingles array<string>", [f"c{i}" for i in range(10)]
+    evaluation = spark.createDataFrame([(10, common[:9] + ["r1"]), (11, common), (12, ["r2", "z"]), (13, common)], schema)
+
+    def candidates(shingles, **args):
+        found = prefix_candidates(spark.createDataFrame([(1, shingles)], schema), evaluation, **args)
+        return {(r[0], r[1]) for r in found.select("evaluation.record.key", "shingle").collect()}
+
+    assert candidates(["r2", "q1", "q2", "q3"], jaccard=0.2) == {(12, "r2")}
+    assert candidates(["r2", "q1", "q2", "q3"], jaccard=0.3) == set()  # places: three absent ones come before r2
+    assert candidates(["r2", "z", *common[:8]], jaccard=0.25) <= {(10, c) for c in common} | {(11, c) for c in common} | {(13, c) for c in common}  # sizes
+    assert candidates(["c9", "q"], overlap=2) == set()  # too few shingles that any evaluation record has
+    assert candidates(["c8", "c9"], overlap=2) == {(11, "c9"), (13, "c9")}  # the rarest alone is the prefix
+    assert {s for k, s in candidates(["c6", "c7", "c8", "c9"], jaccard=0.2) if k == 10} == {"c6"}  # behind c7 too few are left
+
+
+def test_the_found_query_uses_the_general_path(spark):
+    """Two events a grid border apart share two of three shingles, those two borders apart are no candidates."""
+    from signetry.llm import overlap
+
+    assert overlap.GRIDS - 1 > 1
+    train = spark.createDataFrame([(1, 5, 6, 1, 363 * 4_000_000, "", "")], EVENTS)
+    for d, hit in ((0, True), (120, True), (-120, True), (121, False), (250, False)):
+        val = spark.createDataFrame([(2, 6, 5, 1, 363 * 4_000_000 + d, "", "")], EVENTS)
+        mapping = spark.createDataFrame([], "node_id bigint, raw_node_id string")
+        assert bool(_pairs(event_overlaps(train, {"val": val}, mapping))) == hit
