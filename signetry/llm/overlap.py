@@ -20,17 +20,20 @@ GRIDS = 3  # of time; at most 4, whose number fits the last bits of a shingle
 BROADCAST_ROWS = 300_000  # of two BIGINT columns
 
 
-def _ranked(records: DataFrame, frequency: DataFrame) -> DataFrame:
-    """``record, size, shingles``: the shingles of each record that some evaluation record has, the rarest first.
+def _each(records: DataFrame) -> DataFrame:
+    """``record, size, shingle``: one row per distinct shingle; a record is all columns but ``shingles``."""
+    identity = F.struct(*[c for c in records.columns if c != "shingles"])
+    own = records.select(identity.alias("record"), F.array_distinct(F.array_compact("shingles")).alias("own"))
+    return own.select("record", F.size("own").alias("size"), F.explode("own").alias("shingle"))
+
 
-    ``size`` counts all shingles of the record. Those no evaluation record has would come before all others and
+def _ranked(known: DataFrame) -> DataFrame:
+    """``record, size, shingles``: the shingles of each record that both sides have, the rarest first.
+
+    ``size`` counts all shingles of the record. Those the other side lacks would come before all others and
     can't be shared, so only their number matters. Rows repeated as they were become one record.
     """
-    identity = F.struct(*[c for c in records.columns if c != "shingles"])
-    own = F.array_distinct(F.array_compact("shingles"))
-    each = records.select(identity.alias("record"), own.alias("own")).select("record", F.size("own").alias("size"), F.explode("own").alias("shingle"))
-    known = each.join(frequency, "shingle").groupBy("record")
-    ranked = known.agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("items"))
+    ranked = known.groupBy("record").agg(F.max("size").alias("size"), F.array_sort(F.collect_set(F.struct("n", "shingle"))).alias("items"))
     return ranked.select("record", "size", F.col("items.shingle").alias("shingles"))
 
 
@@ -57,9 +60,10 @@ def prefix_candidates(train: DataFrame, evaluation: DataFrame, overlap: int | No
     if (overlap is None) == (jaccard is None):
         raise ValueError("give either overlap or jaccard")
     frequency = evaluation.select(F.explode(F.array_distinct("shingles")).alias("shingle")).where("shingle is not null")
-    frequency = frequency.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
-    probe = _prefixes(_ranked(train, frequency), "train", overlap, jaccard)
-    index = _prefixes(_ranked(evaluation, frequency), "evaluation", overlap, jaccard)
+    known = stored(_each(train).join(frequency.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")), "shingle"))
+    shared = known.select("shingle", "n").distinct()
+    probe = _prefixes(_ranked(known), "train", overlap, jaccard)
+    index = _prefixes(_ranked(_each(evaluation).join(shared, "shingle")), "evaluation", overlap, jaccard)
     pairs = probe.join(index, "shingle")
     a, b = F.col("train_size"), F.col("evaluation_size")
     if jaccard:
