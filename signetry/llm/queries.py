@@ -41,16 +41,16 @@ def _pair_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time, id and sign of each pair by the consensus of its events, whose tokens for them have weights of their own."""
     usable = F.col("second").isNotNull()
+    second = F.coalesce("second", F.lit(-1))
     votes = [
-        Vote("stamp", F.struct("second", "event_id"), usable),
-        Vote("sign", F.col("sign"), F.col("sign").isin(1, -1), (F.col("trust"), F.coalesce("second", F.lit(-1)), F.col("received_at"), F.col("event_id"))),
+        Vote("timestamp", F.col("second"), usable),
+        Vote("event_id", F.col("event_id"), usable, (second,)),
+        Vote("sign", F.col("sign"), F.col("sign").isin(1, -1), (F.col("trust"), second, F.col("received_at"), F.col("event_id"))),
     ]
-    events = _pair_events(spark, sf_dir).drop("source", "target", "weight")
-    best = survivors(events, ["low", "high"], votes, at_least=2)
-    return best.where(F.col("stamp").isNotNull() & F.col("sign").isNotNull()).select(
-        F.col("low").alias("source"), F.col("high").alias("target"), "stamp.event_id", "sign", F.col("stamp.second").alias("timestamp")
-    )
+    best = survivors(_pair_events(spark, sf_dir), ["low", "high"], votes, at_least=2)
+    return best.where("timestamp is not null and sign is not null").select(F.col("low").alias("source"), F.col("high").alias("target"), "event_id", "sign", "timestamp")
 
 
 def p2_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,11 @@
 """One surviving record per group of duplicates, by a consensus over the tokens of their values.
 
-Values of a field are token sequences. Rows of a group vote with their weight; equal values pool their votes
-before anything is shuffled. Values of one token need no alignment, there is one column and the heaviest token
-is the value. Longer values are aligned progressively, heaviest first, in blocks of bounded size whose profiles
-are aligned with each other again; each column elects a token or the gap, and the existing value with the
-smallest token edit distance to the elected sequence survives.
-
-Weights of one-token votes are compared place by place (trust, then recency, and so on) instead of being summed,
-so that a row of higher standing can't be outvoted by many of lower standing.
+Two forms share the method. ``survivors`` takes typed fields: a row is the sequence of the tokens it has, each
+with a weight that is compared place by place (trust, then recency, and so on), so that a row of higher standing
+can't be outvoted by many of lower standing. ``consensus`` takes texts of tokens whose weights add up. In both,
+values of a group are aligned progressively, heaviest first, in blocks of bounded size whose profiles are aligned
+with each other again, each column elects its heaviest token, and what survives is an existing value: of a typed
+field the elected token itself, of a text the one with the smallest token edit distance to the elected sequence.
 """
 
 from __future__ import annotations
@@ -17,6 +15,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +26,16 @@ from ..session import stored
 BLOCK = 64  # values aligned, or profiles merged, in one step
 GAP = ""
 PENALTY = -0.4  # of a gap, a full match counting 1
+ALIKE = 0.5  # different tokens of one kind
+UNLIKE = -2.0  # tokens of different kinds, worse than two gaps
 CHUNK = 2000
 
 
 @dataclass(frozen=True)
 class Vote:
-    """A one-token field: rows where ``counts`` holds vote for ``value`` with ``weight``, most significant first.
+    """A field of one token: rows where ``counts`` holds vote for ``value`` with ``weight``, most significant first.
 
+    ``value`` is of any orderable type but an array, map or struct, the places of ``weight`` are whole numbers or timestamps.
     Nulls in a weight are lightest. The value itself breaks remaining ties, the greatest wins.
     """
 
@@ -41,20 +44,146 @@ class Vote:
     counts: Column
     weight: tuple[Column, ...] = field(default_factory=tuple)
 
-    def state(self) -> Column:
-        places = [w.alias(f"w{i}") for i, w in enumerate(self.weight)]
-        return F.max(F.when(self.counts, F.struct(*places, self.value.alias("token"))))
-
 
 def survivors(rows: DataFrame, keys: list[str], votes: list[Vote], at_least: int = 1) -> DataFrame:
     """One row per group of at least ``at_least`` rows: the keys, ``n_rows`` and the elected token of each field.
 
     A field nobody votes for is null. Rows with a null key form groups like any other. Repeated rows count as
-    rows. The states are fixed in size and merge, so no group is ever gathered. An empty table gives no rows.
+    rows. A group of more than BLOCK rows is cut into blocks by a hash of the row, whose profiles are aligned with
+    each other in rounds, so no task holds more than about BLOCK rows of a group. An empty table gives no rows.
     """
-    states = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *[v.state().alias(f"__{v.name}") for v in votes])
-    kept = states.where(F.col("n_rows") >= at_least)
-    return kept.select(*keys, "n_rows", *[F.col(f"__{v.name}.token").alias(v.name) for v in votes])
+    kinds = range(len(votes))
+    tokens = [F.when(v.counts, v.value).alias(f"t{k}") for k, v in enumerate(votes)]
+    places: dict[str, Column] = {}
+    for w in (w for v in votes for w in v.weight):
+        places.setdefault(str(w), w.alias(f"w{len(places)}"))
+    at = {name: i for i, name in enumerate(places)}
+    layout = [[k, *[len(votes) + at[str(w)] for w in v.weight]] for k, v in enumerate(votes)]
+    base = rows.select(*keys, F.struct(*tokens, *places.values()).alias("__row"))
+    own = base.schema["__row"].dataType
+    heavy = [T.StructField(f"w{k}_{i}", own.fields[at].dataType) for k in kinds for i, at in enumerate(layout[k][1:])]
+    merged = T.StructType([T.StructField(f"t{k}", own.fields[k].dataType) for k in kinds] + heavy)
+    again = [[k, *[merged.fieldNames().index(f"w{k}_{i}") for i in range(len(layout[k]) - 1)]] for k in kinds]
+
+    def elected_of(groups: DataFrame, names: list[str], by: list[list[int]], least: int) -> DataFrame:
+        """Groups of ``__row`` aligned, with the number of rows behind them in ``__n``."""
+        items = groups.groupBy(*names).agg(F.collect_list("__row").alias("__rows"), F.sum("__n").alias("__n")).where(F.col("__n") >= least)
+        return items.select(*names, "__n", _aligned_rows(by, merged)(F.col("__rows")).alias("__row"))
+
+    counted = base.withColumn("__n", F.lit(1).cast("bigint"))
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__size")).where(F.col("__size") > BLOCK)
+    hot = stored(sizes.select(*[F.col(k).alias(f"__k_{k}") for k in keys], "__size"))
+    same = [F.col(k).eqNullSafe(F.col(f"__k_{k}")) for k in keys]
+    most = hot.agg(F.max("__size")).first()[0] or 0
+    if not most:
+        best = elected_of(counted, keys, layout, at_least)
+    else:
+        best = elected_of(counted.join(hot, same, "left_anti"), keys, layout, at_least)
+        block = F.pmod(F.xxhash64("__row"), F.ceil(F.col("__size") * 2 / BLOCK)).alias("__block")
+        parts = elected_of(counted.join(hot, same).select(*keys, block, "__row", "__n"), [*keys, "__block"], layout, 1)
+        width = -(-2 * most // BLOCK)
+        while width > 1:
+            parts = stored(parts.withColumn("__block", F.floor(F.col("__block") / BLOCK)))
+            parts = elected_of(parts, [*keys, "__block"], again, 1)
+            width = -(-width // BLOCK)
+        best = best.unionByName(parts.where(F.col("__n") >= at_least).drop("__block"))
+    return best.select(*keys, F.col("__n").alias("n_rows"), *[F.col(f"__row.t{k}").alias(v.name) for k, v in enumerate(votes)])
+
+
+def _ranks(columns: list[np.ndarray]) -> np.ndarray:
+    """Dense ranks of rows by their columns, the first most significant."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    order = np.lexsort(columns[::-1])
+    changed = np.zeros(len(order), bool)
+    for c in columns:
+        changed[1:] |= c[order][1:] != c[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(changed)
+    return out
+
+
+def _codes(tokens: pa.Array) -> np.ndarray:
+    """Whole numbers in the order of the tokens, -1 for null."""
+    coded = pc.dictionary_encode(tokens)
+    place = np.empty(len(coded.dictionary), np.int64)
+    place[pc.array_sort_indices(coded.dictionary).to_numpy()] = np.arange(len(place))
+    index = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False)
+    return np.where(index < 0, -1, place[index] if len(place) else -1)
+
+
+def progressive(sizes: np.ndarray, codes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Per group and kind of token the row whose token its column elects, -1 for none.
+
+    ``sizes`` are the numbers of rows of the groups, which follow each other; ``codes, weights`` are (rows, kinds),
+    a code of -1 stands for a token that is not there. Every row is the sequence of its tokens in the order of the
+    kinds. All groups are aligned at once: in each step the next row of every group against the group's profile.
+    """
+    kinds = codes.shape[1]
+    firsts = np.cumsum(sizes) - sizes
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((*[-weights[:, k] for k in reversed(range(kinds))], group))  # the heaviest first
+    kind, row = (np.full((len(sizes), kinds), -1, np.int64) for _ in range(2))  # the profile, a column per place
+    length = np.zeros(len(sizes), np.int64)
+    for step in range(int(sizes.max()) if len(sizes) else 0):
+        g = np.flatnonzero(sizes > step)
+        r = order[firsts[g] + step]
+        has = codes[r] >= 0
+        there = has.sum(1)
+        s = np.argsort(~has, axis=1, kind="stable")  # kinds of the row's tokens, then those it lacks
+        p, q, n = kind[g], row[g], length[g]
+        code_p = np.where(p >= 0, codes[q, np.maximum(p, 0)], -2)
+        code_s = np.take_along_axis(codes[r], s, 1)
+        match = np.where(p[:, :, None] == s[:, None, :], np.where(code_p[:, :, None] == code_s[:, None, :], 1.0, ALIKE), UNLIKE)
+        score = np.zeros((len(g), kinds + 1, kinds + 1))
+        score[:, :, 0] = score[:, 0, :] = PENALTY * np.arange(kinds + 1)
+        for i in range(1, kinds + 1):
+            for j in range(1, kinds + 1):
+                gap = np.maximum(score[:, i - 1, j], score[:, i, j - 1]) + PENALTY
+                score[:, i, j] = np.maximum(gap, score[:, i - 1, j - 1] + match[:, i - 1, j - 1])
+        i, j, all_ = n.copy(), there.copy(), np.arange(len(g))
+        new_kind, new_row = (np.full((len(g), 2 * kinds), -1, np.int64) for _ in range(2))
+        for at in range(2 * kinds - 1, -1, -1):
+            pi, sj = np.maximum(i - 1, 0), np.maximum(j - 1, 0)
+            pair = (i > 0) & (j > 0) & (np.abs(score[all_, i, j] - score[all_, pi, sj] - match[all_, pi, sj]) < 1e-9)
+            up = (i > 0) & ((j == 0) | (np.abs(score[all_, i, j] - score[all_, pi, j] - PENALTY) < 1e-9))
+            left = (j > 0) & ((i == 0) | (np.abs(score[all_, i, j] - score[all_, i, sj] - PENALTY) < 1e-9))
+            up &= ~pair & (~left | (p[all_, pi] > s[all_, sj]))  # of two gaps the later kind stands behind
+            left &= ~pair & ~up
+            k = np.where(pair | up, p[all_, pi], s[all_, sj])
+            old, own = q[all_, pi], r
+            heavier = weights[own, k] > weights[np.maximum(old, 0), k]
+            new_kind[:, at] = np.where(pair | up | left, k, -1)
+            new_row[:, at] = np.where(pair, np.where(heavier, own, old), np.where(up, old, np.where(left, own, -1)))
+            i, j = i - (pair | up), j - (pair | left)
+        front = np.argsort(new_kind < 0, axis=1, kind="stable")[:, :kinds]
+        kind[g], row[g] = np.take_along_axis(new_kind, front, 1), np.take_along_axis(new_row, front, 1)
+        length[g] = (new_kind >= 0).sum(1)
+    out = np.full((len(sizes), kinds), -1, np.int64)
+    for at in range(kinds):
+        g = np.flatnonzero(kind[:, at] >= 0)
+        out[g, kind[g, at]] = row[g, at]
+    return out
+
+
+def _aligned_rows(layout: list[list[int]], out: T.StructType):
+    """The consensus of each list of rows; ``layout`` has per kind the field of the token and those of its weight."""
+
+    @F.arrow_udf(out)
+    def consensus_of(lists: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        fields = lists.flatten().flatten()
+        least = np.iinfo(np.int64).min
+        number = lambda a: pc.fill_null(a.cast(pa.int64()), least).to_numpy(zero_copy_only=False)
+        codes = np.stack([_codes(fields[t]) for t, *_ in layout], 1)
+        weights = np.stack([_ranks([*[number(fields[w]) for w in ws], codes[:, k]]) for k, (_, *ws) in enumerate(layout)], 1)
+        chosen = progressive(sizes, codes, weights)
+        take = lambda a, rows: a.take(pa.array(np.maximum(rows, 0), mask=rows < 0))
+        tokens = [take(fields[t], chosen[:, k]) for k, (t, *_) in enumerate(layout)]
+        kept = [take(fields[w], chosen[:, k]) for k, (_, *ws) in enumerate(layout) for w in ws]
+        return pa.StructArray.from_arrays([*tokens, *kept], names=out.fieldNames())
+
+    return consensus_of
 
 
 # ---------------------------------------------------------------------------------- values of several tokens

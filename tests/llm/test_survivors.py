@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from signetry.llm import survivors as s
@@ -23,6 +24,39 @@ def test_ties_go_to_the_greatest_value(spark, rows):
     assert rows(survivors(df, ["k"], [Vote("v", F.col("v"), F.lit(True))])) == [(1, 4, "c")]
 
 
+def _brute(groups, codes, weights):
+    out, at = [], 0
+    for size in groups:
+        own = range(at, at + size)
+        out.append([max((i for i in own if codes[i][k] >= 0), key=lambda i: weights[i][k], default=-1) for k in range(len(codes[0]))])
+        at += size
+    return out
+
+
+def test_progressive_alignment_elects_the_heaviest_token_of_each_kind():
+    r = random.Random(8)
+    for kinds in (1, 2, 3, 5):
+        sizes = np.array([r.randint(1, 9) for _ in range(60)])
+        n = int(sizes.sum())
+        codes = np.array([[r.choice([-1, 0, 1, 2]) for _ in range(kinds)] for _ in range(n)])
+        weights = np.array([[r.random() for _ in range(kinds)] for _ in range(n)])
+        assert s.progressive(sizes, codes, weights).tolist() == _brute(sizes, codes, weights)
+    assert s.progressive(np.zeros(0, int), np.zeros((0, 2), int), np.zeros((0, 2))).shape == (0, 2)
+
+
+def test_a_hot_group_is_aligned_in_blocks(spark, rows):
+    r = random.Random(4)
+    data = [(1 if i % 3 else None, f"v{r.randint(0, 500)}", r.choice([None, 1, 2]), i) for i in range(9000)] + [(2, "x", 1, 1), (2, "y", 1, 2)]
+    df = spark.createDataFrame(data, "k int, v string, trust int, at int")
+    votes = [Vote("v", F.col("v"), F.col("at") % 7 != 0, (F.col("trust"), F.col("at"))), Vote("top", F.col("at"), F.lit(True))]
+    got = rows(survivors(df, ["k"], votes))
+    want = []
+    for k in (1, 2, None):
+        own = [x for x in data if x[0] == k]
+        want.append((k, len(own), max((x for x in own if x[3] % 7), key=lambda x: (x[2] is not None, x[2] or 0, x[3]))[1], max(x[3] for x in own)))
+    assert got == want
+
+
 def test_alignment_elects_the_majority_column_by_column():
     values = ["the quick brown fox", "the quick fox", "the quack brown fox", "the quick brown fix"]
     assert elected(profile_of(values, [1.0] * 4)) == "the quick brown fox".split()
