@@ -99,7 +99,8 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return describe(_clusters(spark, sf_dir))
+    clusters = _clusters(spark, sf_dir)
+    return describe(clusters.join(mutual_groups(clusters), ["node_id", "cluster_id"], "left_semi"))
 
 
 # ---------------------------------------------------------------------------------- 7: containers
