@@ -1,10 +1,12 @@
 """Personal information in free text: found by a linear-chain conditional random field, replaced by placeholders.
 
-Texts are cut into lines and those into tokens: runs of letters, runs of digits, single marks. A token is
-described by small numbers (its word, shape, ending, known-name kind, the kind of the piece between spaces and
-the shape of the number it stands in) at its own place and at places around it. The model is trained by gradient
-steps on the likelihood of a small labelled table and decoded by Viterbi over batches of windows. What it marks
-is trimmed to the exact extent of its type afterwards.
+The texts of a batch are one array of code points. Tokens (runs of letters, runs of digits, single marks) are
+cut out of it by numpy, and described by small numbers (word, shape, ending, known-name kind, the kind of the piece
+between spaces, the shape of the number it stands in) at their own place and at places around it within the line.
+The model is trained by gradient steps on the likelihood of a small labelled table. Every token of every line is
+scored; what the scores alone prove to be outside of any personal information is settled, and the stretches in
+between are decoded by Viterbi, which gives the same labels as decoding whole lines. What is marked is trimmed to
+the exact extent of its type afterwards.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .pii_examples import CARRIERS, LOOKALIKES, TYPES, labelled_table
 
 LABELS = ("O", *(f"{p}-{t}" for t in TYPES for p in "BI"))
 K = len(LABELS)
-RADIUS = 12  # tokens kept on either side of anything that could belong to personal information
-BATCH = 512
+BATCH = 512  # stretches decoded at once
+REACH = 5  # tokens that features look ahead and back
+CHUNK = 8192  # tokens scored at once
 CONJ = 1 << 13
 LEAST = 30.0  # scores further below the best than this count as this far, which keeps all sums within range
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("pii_type", T.StringType()), T.StructField("pii_text", T.StringType())]))
@@ -33,11 +36,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]|_")
 WORDS = re.compile(r"[^\W\d_]+")
 STREET_AFTER = frozenset("street st road rd lane ln ave avenue drive dr close blvd boulevard court way square terrace place".split())
-STREET_BEFORE = frozenset("rue avenue chemin boulevard impasse allée calle avenida plaza paseo camino ronda am".split())
-STREET_END = re.compile(r"(?:straße|strasse|str|weg|gasse|allee|platz)$")
+STREET_BEFORE = frozenset("rue avenue chemin boulevard impasse allée quai place calle avenida avda plaza paseo camino ronda c am im zum".split())
+STREET_ENDS = ("straße", "strasse", "str", "weg", "gasse", "allee", "platz", "ring", "ufer")
+STREET_END = re.compile(rf"(?:{'|'.join(STREET_ENDS)})$")
 NUMBER_RUN = re.compile(r"[+(]*(?:[A-Z]{1,3}[ -]?)?\d(?:[\d ().\-/]*[\d])?(?:[.\-]?[A-Z]\b(?: \d{3}\b)?| [A-Z]\b(?: \d{3}\b)?)?")
 PIECE = re.compile(r"\S+")
-TITLES = frozenset("dr mr mrs ms prof herr frau kollegin kollege collègue colleague colega compañera compañero señor señora sr sra mme monsieur madame author owner".split())
+TITLES = frozenset("dr mr mrs ms miss prof professor herr frau don doña señor señora sr sra m mme mlle monsieur madame author owner colleague kollege kollegin collègue colega compañero compañera".split())
 #: Parts of a name before or behind what was marked: joined by a hyphen or apostrophe, or a particle.
 JOINED_BEFORE = re.compile(r"(?:(?<![^\W_])[^\W\d_]{1,30}['’\-]|(?:(?<![^\W_])(?:van|von|van der) )|(?:^|(?<=[;'\"—:] )|(?<=[;'\"—:]))(?:de|di|da|del|la|le) )$")
 JOINED_AFTER = re.compile(r"(?:['’\-][^\W\d_]{2,30})+(?![^\W_])")
@@ -49,30 +53,9 @@ _MAILBOX = r"(?i)(?<![\w+\-])[^\W_][\w+\-]{0,63}(?:{dot}[\w+\-]{1,63}){0,8}{at}[
 EMAIL = tuple(re.compile(_MAILBOX.replace("{dot}", dot).replace("{at}", at)) for dot, at in ((_DOT, _AT), (_DOT, r"\sat\s")))
 PHONE = re.compile(r"(?:\+\d{1,3}[ .\-]?|\b1 )?(?:\(\d{1,5}\) ?)?\d(?:[ .\-/]?\d)*")
 
-#: A line without any of these, without a watched word and without a known name holds nothing that could be marked.
-TRIGGER = re.compile(
-    r"@|[\[({<]\s?at\s?[\])}>]|\b(?:at|AT)\b.{1,80}?\b(?:dot|DOT)\b"
-    r"|\d(?:[ ().\-/]{0,2}\d){6}|[A-Z]{1,3}-?\d{4}|[A-Z]{2} \d\d|\d{4}\.\d{3}"
-    r"|(?:straße|STRASSE|strasse|str\.|weg|WEG|gasse) \d"
-    r"|\b[^\W\d_a-zß-ÿ][\w'’\-]{0,60}\.?,? (?:[a-z]{2,3}[ \-])?[^\W\d_a-zß-ÿ]"
-)
-WATCHED = frozenset(
-    "street st road rd lane ave avenue drive close blvd boulevard rue chemin calle avenida plaza paseo platz "
-    "author maintainer owner credit colleague kollegin kollege collègue colega compañera compañero ask user dr herr frau maintain pointed".split()
-)
-
 
 # ---------------------------------------------------------------------------------- description of tokens
-def _shape(tok: str) -> int:
-    if tok[0].isdigit():
-        return min(len(tok), 12)
-    if tok[0].isalpha():
-        if len(tok) == 1:
-            return 13 if tok.isupper() else 14
-        return 15 if tok.isupper() else 16 if tok.islower() else 17 if tok[0].isupper() and tok[1:].islower() else 18
-    return 19 + "@.,;:'’\"-+/()[]<>{}|=_#&!?`$*%~\\—".find(tok) if tok in "@.,;:'’\"-+/()[]<>{}|=_#&!?`$*%~\\—" else 60
-
-
+MARKS = "@.,;:'’\"-+/()[]<>{}|=_#&!?`$*%~\\—"
 SHAPES = 64
 _PIECES = (
     (1, re.compile(r".*git@")),
@@ -87,15 +70,92 @@ _PIECES = (
 
 
 def _piece(text: str) -> int:
-    if text.isalpha() and (text.islower() or text[1:].islower()):
-        return 0
     for code, pattern in _PIECES:
         if pattern.match(text):
             return code
     return 0
 
 
-FIELDS = ("word", "shape", "ending", "name", "street", "piece", "run", "gap")
+class CodePoints:
+    """Class, small letter and case of code points, looked up once each."""
+
+    SPACE, LETTER, DIGIT, MARK = range(4)
+
+    def __init__(self) -> None:
+        self.kind = np.full(0x110000, 255, np.uint8)
+        self.small = np.arange(0x110000, dtype=np.uint32)
+        self.case = np.zeros(0x110000, np.int8)  # 1 small, 2 capital
+        self.mark = np.full(0x110000, 60, np.int16)
+        self.mark[[ord(c) for c in MARKS]] = 19 + np.arange(len(MARKS))
+        self.learn(np.arange(0x250))
+
+    def learn(self, codes: np.ndarray) -> None:
+        for c in codes.tolist():
+            ch = chr(c)
+            word = ch.isalnum()
+            self.kind[c] = self.SPACE if ch.isspace() else self.DIGIT if ch.isdecimal() else self.LETTER if word else self.MARK
+            low = ch.lower()
+            self.small[c] = ord(low) if len(low) == 1 else c
+            self.case[c] = 2 if ch.isupper() else 1 if ch.islower() else 0
+
+    def kinds(self, codes: np.ndarray) -> np.ndarray:
+        out = self.kind[codes]
+        if (out == 255).any():
+            self.learn(np.unique(codes[out == 255]))
+            out = self.kind[codes]
+        return out
+
+
+@lru_cache(maxsize=1)
+def code_points() -> CodePoints:
+    return CodePoints()
+
+
+def _points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _hashes(small: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the stretches of code points."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    lengths = (ends - starts).astype(np.int64)
+    inside = np.repeat(np.arange(len(starts)), lengths)
+    where = np.arange(len(inside)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(starts, lengths)
+    place = (where - starts[inside]).astype(np.uint64)
+    x = (small[where].astype(np.uint64) + np.uint64(1)) * (STEP * (np.uint64(2) * place + np.uint64(3)))
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
+    return np.add.reduceat(x, np.cumsum(lengths) - lengths)
+
+
+def word_hash(word: str) -> int:
+    codes = _points(word)
+    code_points().kinds(codes)
+    small = code_points().small[codes]
+    return int(_hashes(small, np.array([0]), np.array([len(small)]))[0])
+
+
+class Lookup:
+    """Numbers of words by their hash, 0 for all others."""
+
+    def __init__(self, numbers: dict[str, int]) -> None:
+        pairs = sorted({word_hash(w): n for w, n in numbers.items() if w}.items())
+        self.keys = np.array([k for k, _ in pairs], np.uint64)
+        self.numbers = np.array([n for _, n in pairs] + [0], np.int32)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, hashes)
+        hit = at < len(self.keys)
+        hit[hit] = self.keys[at[hit]] == hashes[hit]
+        return np.where(hit, self.numbers[np.where(hit, at, -1)], 0)
+
+
+FIELDS = ("word", "shape", "ending", "name", "street", "piece", "run", "form", "gap")
 #: Places at which each field is looked at.
 AROUND = (
     *(("word", o) for o in range(-5, 6)),
@@ -105,6 +165,7 @@ AROUND = (
     *(("street", o) for o in range(-5, 6)),
     *(("piece", o) for o in (-1, 0, 1)),
     *(("run", o) for o in (-1, 0, 1)),
+    *(("form", o) for o in (-1, 0, 1)),
     *(("gap", o) for o in (0, 1, 2)),
 )
 PAIRED = (
@@ -113,6 +174,8 @@ PAIRED = (
     (("name", 0), ("name", 1), ("gap", 1)),
     (("name", 0), ("name", 2), ("shape", 1)),
     (("run", 0), ("word", -2), ("word", -1)),
+    (("form", 0), ("word", -2), ("word", -1)),
+    (("form", 0), ("word", -3), ("shape", -1)),
     (("word", -1), ("name", 0), ("name", 1)),
     (("word", 1), ("name", 0), ("name", -1)),
     (("street", 1), ("street", 2), ("shape", 0)),
@@ -120,65 +183,127 @@ PAIRED = (
 )
 
 
-@dataclass
+FORMS = 512
+_FIGURES = str.maketrans({**{str(d): "9" for d in range(10)}, **{chr(c): "A" for c in range(65, 91)}})
+
+
+def _run_shape(text: str) -> str:
+    return (text.lstrip("(") if text.count("(") > text.count(")") else text).translate(_FIGURES)
+
+
+def _run_form(shape: str) -> int:
+    """Digits, kinds of separators, letters before and behind: what numbers of unknown shape have in common."""
+    digits = min(shape.count("9"), 17)
+    seps = sum(1 << i for i, c in enumerate("-. /") if c in shape)
+    letters = (1 if shape[:1] == "A" else 0) + (2 if shape[-1:] == "A" else 0)
+    lead = 2 if shape[:1] == "+" else 1 if "(" in shape else 0
+    return 2 + ((digits * 16 + seps) * 4 + letters + 2309 * lead) % (FORMS - 2)
+
+
 class Vocabulary:
-    words: dict[str, int]
-    endings: dict[str, int]
-    runs: dict[str, int]
-    given: frozenset[str]
-    family: frozenset[str]
+    def __init__(self, words: list[str], endings: list[str], runs: list[str], given: frozenset[str], family: frozenset[str]) -> None:
+        self.given, self.family = given, family
+        self.unknown = len(words) + 1
+        self.n_endings = len(endings)
+        self.runs = {r: i for i, r in enumerate(runs)}
+        self.word = Lookup({w: i + 1 for i, w in enumerate(words)})
+        self.ending = Lookup({e: i + 2 for i, e in enumerate(endings)})
+        self.known = Lookup({w: (2 if w in family else 0) + (1 if w in given else 0) for w in given | family})
+        self.street = Lookup({**{w: 2 for w in STREET_AFTER}, **{w: 3 for w in STREET_BEFORE}, **{w: 5 for w in STREET_AFTER & STREET_BEFORE}})
 
     def sizes(self) -> dict[str, int]:
-        return {"word": len(self.words) + 8, "shape": SHAPES, "ending": len(self.endings) + 2, "name": 4 * 6 + 2, "street": 6, "piece": 10, "run": 3 * (len(self.runs) + 2) + 2, "gap": 5}
+        return {"word": self.unknown + 7, "shape": SHAPES, "ending": self.n_endings + 2, "name": 4 * 6 + 2, "street": 6, "piece": 10, "run": 3 * (len(self.runs) + 2) + 2, "form": FORMS, "gap": 5}
 
 
-def _run_shape(text: str) -> str:
-    return re.sub(r"[A-Z]", "A", re.sub(r"\d", "9", text.lstrip("(") if text.count("(") > text.count(")") else text))
-
-
-def describe(line: str, voc: Vocabulary) -> tuple[list[tuple[int, int]], list[list[int]]]:
-    """Places of the tokens of a line and their fields, in the order of FIELDS. 0 stands for nothing there."""
-    spans, rows = [], []
-    words, endings, given, family = voc.words, voc.endings, voc.given, voc.family
-    unknown = len(words) + 1
-    pieces = [(m.end(), _piece(m[0])) for m in PIECE.finditer(line)]
-    runs = [(m.start(), m.end(), voc.runs.get(_run_shape(m[0]), len(voc.runs) + 1)) for m in NUMBER_RUN.finditer(line)]
-    p = q = last = 0
-    for m in TOKEN.finditer(line):
-        a, b = m.span()
-        tok = m[0]
-        low = tok.lower()
-        while pieces[p][0] <= a:
-            p += 1
-        while q < len(runs) and runs[q][1] <= a:
-            q += 1
-        run = 1
-        if q < len(runs) and runs[q][0] <= a:
-            run = 2 + 3 * runs[q][2] + (0 if a == runs[q][0] else 2 if b == runs[q][1] else 1)
-        shape = _shape(tok)
-        letters = 13 <= shape <= 18
-        kind = (2 if low in family else 0) + (1 if low in given else 0) if letters else 0
-        street = 0
-        if letters:
-            street = 2 if low in STREET_AFTER else 3 if low in STREET_BEFORE else 4 if STREET_END.search(low) else 1
-            if low == "avenue":
-                street = 5
-        word = words.get(low) or (unknown + min(len(tok), 5) if not letters and shape <= 12 else unknown)
-        rows.append(
-            [
-                word,
-                1 + shape if shape < SHAPES - 1 else SHAPES - 1,
-                endings.get(low[-3:], 1) if letters and len(low) > 3 else 1,
-                1 + kind * 6 + (shape - 13) if letters else 25,
-                street,
-                1 + pieces[p][1],
-                run,
-                1 if not rows else 2 if a == last else 3,
-            ]
-        )
-        spans.append((a, b))
-        last = b
-    return spans, rows
+@dataclass
+class Tokens:
+    """Tokens of a batch of texts: places in the joined text, fields (FIELDS, tokens), and the line each stands in."""
+
+    start: np.ndarray
+    end: np.ndarray
+    fields: np.ndarray
+    line: np.ndarray
+
+
+def tokens_of(text: str) -> tuple[np.ndarray, ...]:
+    """Starts, ends, kinds and lines of the tokens of a text of several lines, with its small code points."""
+    points = code_points()
+    codes = _points(text)
+    kind = points.kinds(codes)
+    line_at = np.cumsum(codes == 10)
+    edge = np.ones(len(codes), bool)
+    edge[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == CodePoints.MARK)
+    start = np.flatnonzero(edge & (kind != CodePoints.SPACE))
+    bound = np.append(np.flatnonzero(edge), len(codes))
+    end = bound[np.searchsorted(bound, start, "right")]
+    return start, end, kind[start], line_at[start], points.small[codes], codes
+
+
+def described(text: str, voc: Vocabulary) -> Tokens:
+    """The tokens of a text of several lines and their fields. 0 stands for nothing there."""
+    points = code_points()
+    start, end, kind, line, small, codes = tokens_of(text)
+    n = len(start)
+    if not n:
+        return Tokens(start, end, np.zeros((len(FIELDS), 0), np.int32), line)
+    length = end - start
+    letters, digits = kind == CodePoints.LETTER, kind == CodePoints.DIGIT
+    hashes = _hashes(small, start, end)
+    case = points.case[codes]
+    before = lambda flag: np.append(0, np.cumsum(flag))
+    caps, smalls = before(case == 2), before(case == 1)
+    n_caps, n_small = caps[end] - caps[start], smalls[end] - smalls[start]
+    first_cap = case[start] == 2
+    shape = points.mark[codes[start]].astype(np.int32)
+    shape[digits] = np.minimum(length[digits], 12)
+    title = first_cap & (n_caps == 1) & (n_small > 0)
+    worded = np.where(length == 1, np.where(n_caps > 0, 13, 14), np.where((n_caps > 0) & (n_small == 0), 15, np.where((n_small > 0) & (n_caps == 0), 16, np.where(title, 17, 18))))
+    shape = np.where(letters, worded, shape)
+    word = voc.word(hashes)
+    word = np.where(word > 0, word, np.where(digits, voc.unknown + np.minimum(length, 5), np.where(letters, voc.unknown, voc.unknown + 6)))
+    ending = np.ones(n, np.int32)
+    long = np.flatnonzero(letters & (length > 3))
+    ending[long] = np.maximum(voc.ending(_hashes(small, end[long] - 3, end[long])), 1)
+    name = np.full(n, 25, np.int32)
+    own = np.flatnonzero(letters)
+    name[own] = 1 + voc.known(hashes[own]) * 6 + (shape[own] - 13)
+    street = np.where(letters, 1, 0)
+    for suffix in STREET_ENDS:
+        ended = own[length[own] >= len(suffix)]
+        for back, ch in enumerate(reversed(suffix), 1):
+            ended = ended[small[end[ended] - back] == ord(ch)]
+        street[ended] = 4
+    street[own] = np.where((found := voc.street(hashes[own])) > 0, found, street[own])
+    # pieces between spaces
+    space = np.append(True, points.kind[codes] == CodePoints.SPACE)
+    piece_start = np.flatnonzero(space[:-1] & ~space[1:])
+    piece_end = np.append(np.flatnonzero(~space[1:-1] & space[2:]) + 1, len(codes))[: len(piece_start)] if len(codes) > 1 else np.array([len(codes)])
+    odd = (codes == 64) | (codes == 95) | (codes == 96)
+    odd[1:] |= (case[1:] == 2) & (case[:-1] == 1)
+    odd[:-2] |= (codes[:-2] == 58) & (codes[1:-1] == 47) & (codes[2:] == 47)
+    odds = before(odd)
+    code = np.zeros(len(piece_start), np.int32)
+    for k in np.flatnonzero(odds[piece_end] > odds[piece_start]).tolist():
+        code[k] = _piece(text[piece_start[k] : piece_end[k]])
+    piece = 1 + code[np.searchsorted(piece_start, start, "right") - 1]
+    # numbers
+    run, form = np.ones(n, np.int32), np.ones(n, np.int32)
+    marks = [(m.start(), m.end(), _run_shape(m[0])) for m in NUMBER_RUN.finditer(text)]
+    if marks:
+        a = np.array([m[0] for m in marks])
+        b = np.array([m[1] for m in marks])
+        which = np.array([voc.runs.get(m[2], len(voc.runs) + 1) for m in marks])
+        forms = np.array([_run_form(m[2]) for m in marks])
+        at = np.searchsorted(a, start, "right") - 1
+        hit = (at >= 0) & (start < b[at])
+        at = at[hit]
+        run[hit] = 2 + 3 * which[at] + np.where(start[hit] == a[at], 0, np.where(end[hit] == b[at], 2, 1))
+        form[hit] = forms[at]
+    gap = np.full(n, 3, np.int32)
+    gap[1:][start[1:] == end[:-1]] = 2
+    gap[np.append(True, line[1:] != line[:-1])] = 1
+    fields = np.stack([word, np.minimum(1 + shape, SHAPES - 1), ending, name, street, piece, run, form, gap]).astype(np.int32)
+    return Tokens(start, end, fields, line)
 
 
 def vocabulary(table: list, given: set[str], family: set[str]) -> Vocabulary:
@@ -191,34 +316,30 @@ def vocabulary(table: list, given: set[str], family: set[str]) -> Vocabulary:
                 ends[w.lower()[-3:]] = ends.get(w.lower()[-3:], 0) + 1
         for m in NUMBER_RUN.finditer(text):
             runs[_run_shape(m[0])] = runs.get(_run_shape(m[0]), 0) + 1
-    keep_ends = sorted(e for e, n in ends.items() if n >= 4)
-    keep_runs = sorted(e for e, n in runs.items() if n >= 3)
     split = lambda parts: frozenset(w.lower() for p in parts for w in WORDS.findall(p) if len(w) > 2)
-    return Vocabulary({w: i + 1 for i, w in enumerate(words)}, {e: i + 2 for i, e in enumerate(keep_ends)}, {r: i for i, r in enumerate(keep_runs)}, split(given), split(family))
+    return Vocabulary(words, sorted(e for e, n in ends.items() if n >= 4), sorted(e for e, n in runs.items() if n >= 3), split(given), split(family))
 
 
 # ---------------------------------------------------------------------------------- the model
-def _shifted(x: np.ndarray, offset: int) -> np.ndarray:
-    out = np.zeros_like(x)
-    if offset > 0:
-        out[:, :-offset] = x[:, offset:] if offset < x.shape[1] else 0
-    elif offset < 0:
-        out[:, -offset:] = x[:, :offset]
-    else:
-        out = x
-    return out
-
-
-def _columns(x: np.ndarray) -> list[np.ndarray]:
-    """Feature numbers of all tokens, one array per feature table; ``x`` is (fields, windows, length)."""
-    at = {(f, o): _shifted(x[i], o) for i, f in enumerate(FIELDS) for o in range(-5, 6) if x.shape[2] > abs(o)}
-    none = np.zeros(x.shape[1:], x.dtype)
-    out = [at.get(k, none) for k in AROUND]
+def _apart_lines(tokens: Tokens) -> tuple[np.ndarray, np.ndarray]:
+    """Fields with REACH empty places before each line and at the end, and the place of every token in them."""
+    new = np.append(True, tokens.line[1:] != tokens.line[:-1]) if len(tokens.line) else np.zeros(0, bool)
+    at = np.arange(len(tokens.line)) + REACH * np.cumsum(new)
+    out = np.zeros((len(FIELDS), (at[-1] if len(at) else 0) + 1 + REACH), np.int32)
+    out[:, at] = tokens.fields
+    return out, at
+
+
+def _columns(wide: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
+    """Feature numbers of the tokens at these places, one array per feature table."""
+    place = {f: wide[i] for i, f in enumerate(FIELDS)}
+    own = {k: place[k[0]][at + k[1]] for k in {*AROUND, *(k for parts in PAIRED for k in parts)}}
+    out = [own[k] for k in AROUND]
     for parts in PAIRED:
-        mixed = np.zeros(x.shape[1:], np.int64)
+        mixed = np.zeros(len(at), np.int64)
         for k in parts:
-            mixed = mixed * 1009 + at.get(k, none)
-        out.append((mixed % CONJ).astype(x.dtype))
+            mixed = mixed * 1009 + own[k]
+        out.append((mixed % CONJ).astype(np.int32))
     return out
 
 
@@ -234,21 +355,36 @@ ALLOWED = _allowed()
 STARTS = np.array([n[0] != "I" for n in LABELS])
 
 
+def _best_around(gain: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Greatest sum over the stretches of consecutive tokens of a line that hold the token."""
+    line = np.cumsum(np.append(0, last[:-1]))
+    wall = float(np.maximum(gain, 0.0).sum()) + 1.0  # so that no sum reaches over the end of a line
+
+    def upto(g: np.ndarray, line: np.ndarray) -> np.ndarray:
+        total = np.cumsum(g) - wall * line
+        low = np.minimum.accumulate(total - g)  # sums before the token, lower on each new line
+        return total - low
+
+    return upto(gain, line) + upto(gain[::-1], (line[-1] - line)[::-1])[::-1] - gain if len(gain) else gain
+
+
 @dataclass
 class Model:
     voc: Vocabulary
     tables: list[np.ndarray]
     moves: np.ndarray
 
-    def scores(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((*x.shape[1:], K), np.float32)
-        for table, column in zip(self.tables, _columns(x)):
-            out += table[column]
+    def scores(self, tokens: Tokens) -> np.ndarray:
+        wide, at = _apart_lines(tokens)
+        out = np.zeros((len(at), K), np.float32)
+        for first in range(0, len(at), CHUNK):
+            part = out[first : first + CHUNK]
+            for table, column in zip(self.tables, _columns(wide, at[first : first + CHUNK])):
+                part += table[column]
         return out
 
-    def decode(self, x: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Best label sequences of windows padded to one length, by Viterbi."""
-        score = self.scores(x)
+    def viterbi(self, score: np.ndarray, lengths: np.ndarray, before_outside: np.ndarray) -> np.ndarray:
+        """Best label sequences of stretches padded to one length; those so marked end before a token outside."""
         n, size, _ = score.shape
         moves = np.where(ALLOWED, self.moves, -1e9).astype(np.float32)
         best = np.where(STARTS, score[:, 0], -1e9)
@@ -263,101 +399,132 @@ class Model:
         out = np.zeros((n, size), np.int8)
         rows = np.arange(n)
         state = np.zeros(n, np.int64)
+        leave = np.where(before_outside[:, None], moves[:, 0], 0.0)
         for t in range(size - 1, -1, -1):
-            state = np.where(lengths - 1 == t, bests[rows, t].argmax(1), state)
+            state = np.where(lengths - 1 == t, (bests[rows, t] + leave).argmax(1), state)
             out[:, t] = state
             state = np.where(lengths > t, back[rows, t, state], state)
         return out
 
-
-def _padded(windows: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(w) for w in windows])
-    x = np.zeros((len(FIELDS), len(windows), lengths.max()), np.int32)
-    for i, w in enumerate(windows):
-        x[:, i, : len(w)] = np.array(w, np.int32).T
-    return x, lengths
+    def outside(self, score: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Tokens that the best sequence surely leaves unmarked; ``last`` tells the last tokens of lines.
+
+        Against leaving it unmarked, a marked stretch can gain at most the sum over its tokens of the best label's
+        score above that of no label, once every label is credited with the most a move to it can bring. The
+        greatest such sum of all stretches around a token comes from running sums in both directions; where it is
+        negative no best sequence marks the token.
+        """
+        moves = np.where(ALLOWED, self.moves - self.moves[0, 0], -np.inf).astype(np.float64)
+        paid = -np.maximum(moves[:, 0], 0.0)  # what leaving a label brings is credited to the label
+        paid[0] = 0.0
+        credit = np.maximum((moves + paid[:, None]).max(0), np.where(STARTS, 0.0, -np.inf)) - paid
+        gain = (score[:, 1:] + credit[1:]).max(1).astype(np.float64) - score[:, 0]
+        return _best_around(gain, last) < -1e-3
+
+    def labels(self, tokens: Tokens) -> np.ndarray:
+        """Best label of every token, lines being sequences."""
+        n = len(tokens.start)
+        out = np.zeros(n, np.int8)
+        if not n:
+            return out
+        score = self.scores(tokens)
+        last = np.append(tokens.line[1:] != tokens.line[:-1], True)
+        open_ = ~self.outside(score, last)
+        before = np.append(False, open_[:-1] & ~last[:-1])
+        begin = np.flatnonzero(open_ & ~before)
+        stop = np.flatnonzero(open_ & ~np.append(open_[1:] & ~last[:-1], False)) + 1
+        at_start = np.append(True, last[:-1])[begin]  # of a line, else behind a token outside
+        lengths = stop - begin
+        order = np.argsort(lengths, kind="stable")
+        for first in range(0, len(order), BATCH):
+            own = order[first : first + BATCH]
+            size = int(lengths[own].max())
+            at = begin[own][:, None] + np.minimum(np.arange(size), lengths[own][:, None] - 1)
+            x = score[at]
+            x[:, 0] += np.where(at_start[own][:, None], 0.0, self.moves[0])
+            best = self.viterbi(x, lengths[own], ~last[stop[own] - 1])
+            live = np.arange(size) < lengths[own][:, None]
+            out[at[live]] = best[live]
+        return out
 
 
-def _marked(spans: list[tuple[int, int]], truth: list[tuple[int, int, str]]) -> list[int]:
-    out = [0] * len(spans)
-    for a, b, kind in truth:
-        inside = [i for i, (s, e) in enumerate(spans) if s >= a and e <= b]
-        for i in inside:
-            out[i] = LABELS.index(("B-" if i == inside[0] else "I-") + kind)
-    return out
+class _Part:
+    """A part of the labelled lines: feature numbers, labels, and the tokens of all lines at each place."""
+
+    def __init__(self, columns: list[np.ndarray], marks: np.ndarray, firsts: np.ndarray, lengths: np.ndarray) -> None:
+        order = np.argsort(-lengths, kind="stable")
+        firsts, lengths = firsts[order], lengths[order]
+        begins = np.cumsum(lengths) - lengths
+        own = np.repeat(firsts - begins, lengths) + np.arange(lengths.sum())
+        self.columns, self.marks, self.n = [c[own] for c in columns], marks[own], len(own)
+        self.at = [begins[: int((lengths > t).sum())] + t for t in range(int(lengths.max()))]
+        self.orders = [np.argsort(c, kind="stable") for c in self.columns]
+        self.starts = [np.flatnonzero(np.append(True, np.diff(c[o]) > 0)) for c, o in zip(self.columns, self.orders)]
+        self.keys = [c[o][s] for c, o, s in zip(self.columns, self.orders, self.starts)]
+        self.seen = np.zeros((K, K))
+        for before, after in zip(self.at, self.at[1:]):
+            np.add.at(self.seen, (self.marks[before[: len(after)]], self.marks[after]), 1)
+
+    def surplus(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
+        """Expected less observed labels of all tokens and moves, by the forward and backward sums of the chain."""
+        total = np.zeros((self.n, K), np.float32)
+        for table, column in zip(model.tables, self.columns):
+            total += table[column]
+        score = np.exp(np.maximum(total - total.max(1, keepdims=True), -LEAST).astype(np.float64))
+        move = np.where(ALLOWED, np.exp(np.clip(model.moves, -LEAST, LEAST)), 0.0)
+        forward, backward, scale = np.empty_like(score), np.ones_like(score), np.empty(self.n)
+        for t, at in enumerate(self.at):
+            a = (forward[self.at[t - 1][: len(at)]] @ move if t else STARTS) * score[at]
+            scale[at] = np.maximum(a.sum(1), 1e-200)
+            forward[at] = a / scale[at][:, None]
+        expected = np.zeros((K, K))
+        for t in range(len(self.at) - 1, 0, -1):
+            at = self.at[t]
+            before = self.at[t - 1][: len(at)]
+            right = score[at] * backward[at] / scale[at][:, None]
+            expected += (forward[before].T @ right) * move
+            backward[before] = right @ move.T
+        posterior = forward * backward
+        posterior /= np.maximum(posterior.sum(1, keepdims=True), 1e-200)
+        posterior[np.arange(self.n), self.marks] -= 1
+        return posterior.astype(np.float32), expected - self.seen
 
 
-def train(known: dict[str, list[str]], rounds: int = 12, steps: int = 50, rate: float = 0.15, decay: float = 2e-3) -> Model:
-    """Fit the model to the labelled table by full-batch gradient steps with adapted step widths."""
+def train(known: dict[str, list[str]], rounds: int = 8, steps: int = 240, parts: int = 4, rate: float = 0.05, decay: float = 5e-3) -> Model:
+    """Fit the model to the labelled table by gradient steps of adapted and shrinking width over its parts in turn."""
     table = labelled_table(known, rounds)
     voc = vocabulary(table, set(known.get("given", [])), set(known.get("family", [])))
-    windows, marks = [], []
-    for text, truth in table:
-        spans, rows = describe(text, voc)
-        if 0 < len(rows) <= 70:
-            windows.append(rows)
-            marks.append(_marked(spans, truth))
-    x, lengths = _padded(windows)
-    n, size = x.shape[1:]
-    y = np.zeros((n, size), np.int64)
-    for i, m in enumerate(marks):
-        y[i, : len(m)] = m
-    live = np.arange(size) < lengths[:, None]
-    columns = _columns(x)
+    tokens = described("\n".join(text for text, _ in table), voc)
+    begins = np.cumsum([0] + [len(text) + 1 for text, _ in table])
+    marks = np.zeros(len(tokens.start), np.int64)
+    for a, b, kind in [(begins[i] + a, begins[i] + b, kind) for i, (_, truth) in enumerate(table) for a, b, kind in truth]:
+        lo, hi = np.searchsorted(tokens.start, [a, b])
+        marks[lo] = LABELS.index("B-" + kind)
+        marks[lo + 1 : hi] = LABELS.index("I-" + kind)
+    columns = _columns(*_apart_lines(tokens))
+    _, firsts, lengths = np.unique(tokens.line, return_index=True, return_counts=True)
+    share = np.random.default_rng(3).permutation(len(firsts)) % parts
+    own = [_Part(columns, marks, firsts[share == k], lengths[share == k]) for k in range(parts)]
     sizes = voc.sizes()
     heights = [sizes[f] for f, _ in AROUND] + [CONJ] * len(PAIRED)
     model = Model(voc, [np.zeros((h, K), np.float32) for h in heights], np.zeros((K, K), np.float32))
-    flat = [c[live] for c in columns]
-    orders = [np.argsort(c, kind="stable") for c in flat]
-    firsts = [np.flatnonzero(np.r_[True, np.diff(c[o]) > 0]) for c, o in zip(flat, orders)]
-    keys = [c[o][s] for c, o, s in zip(flat, orders, firsts)]
-    observed = np.zeros((n, size, K), np.float32)
-    observed[np.arange(n)[:, None], np.arange(size), y] = 1
-    pairs = live[:, 1:]
-    seen = np.zeros((K, K))
-    np.add.at(seen, (y[:, :-1][pairs], y[:, 1:][pairs]), 1)
     params = [*model.tables, model.moves]
     mean = [np.zeros_like(p) for p in params]
     square = [np.zeros_like(p) for p in params]
     for step in range(1, steps + 1):
-        at_live = np.zeros((len(flat[0]), K), np.float32)
-        for table, column in zip(model.tables, flat):
-            at_live += table[column]
-        score = np.ones((n, size, K))
-        score[live] = np.exp(np.maximum(at_live - at_live.max(1, keepdims=True), -LEAST))
-        move = np.where(ALLOWED, np.exp(np.clip(model.moves, -LEAST, LEAST)), 0.0)
-        forward = np.zeros_like(score)
-        scale = np.ones((n, size))
-        a = score[:, 0] * STARTS
-        for t in range(size):
-            if t:
-                a = (forward[:, t - 1] @ move) * score[:, t]
-            scale[:, t] = np.maximum(a.sum(1), 1e-200)
-            forward[:, t] = a / scale[:, t][:, None]
-        backward = np.zeros_like(score)
-        b = np.ones((n, K))
-        expected = np.zeros((K, K))
-        for t in range(size - 1, -1, -1):
-            b = np.where((lengths - 1 == t)[:, None], 1.0, b)
-            backward[:, t] = b
-            if t:
-                right = score[:, t] * b / scale[:, t][:, None]
-                on = live[:, t]
-                expected += (forward[on, t - 1].T @ right[on]) * move
-                b = right @ move.T
-        posterior = forward * backward
-        posterior /= np.maximum(posterior.sum(2, keepdims=True), 1e-200)
-        diff = (posterior[live] - observed[live]).astype(np.float32)
+        part = own[step % parts]
+        diff, moves = part.surplus(model)
         grads = []
-        for k, (o, s) in enumerate(zip(orders, firsts)):
-            g = np.zeros_like(model.tables[k])
-            g[keys[k]] = np.add.reduceat(diff[o], s, axis=0)
-            grads.append(g + decay * model.tables[k])
-        grads.append(((expected - seen) + decay * model.moves).astype(np.float32))
+        for p, o, s, keys in zip(model.tables, part.orders, part.starts, part.keys):
+            g = decay * p
+            g[keys] += np.add.reduceat(diff[o], s, axis=0)
+            grads.append(g)
+        grads.append((moves + decay * model.moves).astype(np.float32))
+        width = rate * (1 - 0.9 * step / steps)
         for p, g, m, v in zip(params, grads, mean, square):
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
+            p -= width * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-3)
     if not all(np.isfinite(p).all() for p in params):
         raise RuntimeError("the training did not stay finite")
     return model
@@ -426,66 +593,31 @@ def _trimmed(line: str, a: int, b: int, kind: str, given: frozenset[str] = froze
 def find_spans(texts: list[str | None], model: Model) -> list[list[tuple[int, int, str, str]]]:
     """``(start, end, type, text)`` of all personal information of each text, in order of place."""
     found: list[list] = [[] for _ in texts]
-    watched = model.voc.given | model.voc.family | WATCHED
-    windows, places = [], []
-    for i, text in enumerate(texts):
-        at = 0
-        for line in (text or "").split("\n"):
-            start, at = at, at + len(line) + 1
-            if not TRIGGER.search(line) and (len(line) >= 48 or not line.strip()) and watched.isdisjoint(WORDS.findall(line.lower())):
-                continue
-            spans, rows = describe(line.rstrip("\r"), model.voc)
-            if len(rows) > 3 * RADIUS:
-                keep = _windows(line, spans, rows, watched)
-            else:
-                keep = [(0, len(rows))] if rows else []
-            for a, b in keep:
-                windows.append(rows[a:b])
-                places.append((i, start, line, spans[a:b]))
-    order = sorted(range(len(windows)), key=lambda k: len(windows[k]))
-    for first in range(0, len(order), BATCH):
-        own = order[first : first + BATCH]
-        x, lengths = _padded([windows[k] for k in own])
-        best = model.decode(x, lengths)
-        for k, labels in zip(own, best):
-            if not labels.any():
-                continue
-            i, start, line, spans = places[k]
-            for a, b, kind in _stretches(labels[: len(spans)], spans):
-                if extent := _trimmed(line, a, b, kind, model.voc.given):
-                    s, e = extent
-                    found[i].append((start + s, start + e, kind, line[s:e]))
+    whole = "\n".join(t or "" for t in texts)
+    begins = np.cumsum([0] + [len(t or "") + 1 for t in texts])
+    tokens = described(whole, model.voc)
+    labels = model.labels(tokens)
+    for a, b, kind in _stretches(labels, tokens):
+        low, high = whole.rfind("\n", 0, a) + 1, whole.find("\n", b)
+        line = whole[low : high if high >= 0 else len(whole)]
+        if extent := _trimmed(line, a - low, b - low, kind, model.voc.given):
+            i = int(np.searchsorted(begins, low, "right")) - 1
+            s, e = extent
+            found[i].append((int(low + s - begins[i]), int(low + e - begins[i]), kind, line[s:e]))
     return [_apart(sorted(set(spans))) for spans in found]
 
 
-def _windows(line: str, spans: list[tuple[int, int]], rows: list[list[int]], watched: frozenset[str]) -> list[tuple[int, int]]:
-    """Ranges of tokens around all that may matter, wide enough for every place a feature looks at."""
-    n = len(rows)
-    mark = np.zeros(n + 1, np.int32)
-    starts = np.array([a for a, _ in spans])
-    for m in TRIGGER.finditer(line):
-        lo, hi = np.searchsorted(starts, m.start(), "right") - 1, np.searchsorted(starts, m.end(), "left")
-        mark[max(0, lo - RADIUS)] += 1
-        mark[min(n, hi + RADIUS)] -= 1
-    for k in [k for k, (a, b) in enumerate(spans) if line[a:b].lower() in watched]:
-        mark[max(0, k - RADIUS)] += 1
-        mark[min(n, k + RADIUS)] -= 1
-    on = np.cumsum(mark[:n]) > 0
-    edges = np.flatnonzero(np.diff(np.r_[0, on.astype(np.int8), 0]))
-    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
-
-
-def _stretches(labels: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    out = []
-    for label, (a, b) in zip(labels, spans):
+def _stretches(labels: np.ndarray, tokens: Tokens) -> list[tuple[int, int, str]]:
+    """``(start, end, type)`` of what is marked; a label that continues nothing begins a stretch of its own."""
+    at = np.flatnonzero(labels)
+    out: list = []
+    for k, label, a, b, line in zip(at.tolist(), labels[at].tolist(), tokens.start[at].tolist(), tokens.end[at].tolist(), tokens.line[at].tolist()):
         name = LABELS[label]
-        if name == "O":
-            out.append(None)
-        elif name[0] == "B" or not out or out[-1] is None:
-            out.append([a, b, name[2:]])
+        if name[0] == "I" and out and out[-1][3] == k - 1 and out[-1][4] == line and out[-1][2] == name[2:]:
+            out[-1][1], out[-1][3] = b, k
         else:
-            out[-1][1] = b
-    return [tuple(x) for x in out if x]
+            out.append([a, b, name[2:], k, line])
+    return [(a, b, kind) for a, b, kind, _, _ in out]
 
 
 def _apart(spans: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:

@@ -1,20 +1,51 @@
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from signetry.llm import pii
 from signetry.llm.pii import find_spans, redacted, train, with_pii
-from signetry.llm.pii_examples import labelled_table
+from signetry.llm.pii_examples import CARRIERS, LOOKALIKES, TYPES, labelled_table
+
+from pii_sentences import SENTENCES
 
 PARTS = [("Mira", "given"), ("Oskar", "given"), ("Lena", "given"), ("Bergquist", "family"), ("de Vann", "family"), ("Holm-Tarr", "family"), (None, "given")]
-KNOWN = {"given": ["Mira", "Oskar", "Lena"], "family": ["Bergquist", "de Vann", "Holm-Tarr"]}
+KNOWN = {"given": ["Mira", "Oskar", "Lena", "Peter", "Ann"], "family": ["Bergquist", "de Vann", "Holm-Tarr", "Smith", "Lee"]}
 
 
 @pytest.fixture(scope="module")
 def model():
-    return train(KNOWN, rounds=6, steps=50)
+    return train(KNOWN)
+
+
+def _marked(sentence):
+    text, spans = "", []
+    for part in re.split(r"(\[\[\w+\|.*?\]\])", sentence):
+        if m := re.fullmatch(r"\[\[(\w+)\|(.*)\]\]", part):
+            spans.append((m[1], m[2]))
+        text += m[2] if m else part
+    return text, spans
+
 
+def test_sentences_apart_from_the_training_table(model):
+    """Recall and precision per type on sentences that share no carrier with the training table."""
+    carriers = {re.sub(r"\{\w+\}", "", c).strip(" .,!?") for c in CARRIERS + LOOKALIKES} - {""}
+    pairs = [_marked(s) for s in SENTENCES]
+    assert not any(re.sub(r"\[\[.*?\]\]", "", s).strip(" .,!?") in carriers for s in SENTENCES)
+    found = [[(k, w) for _, _, k, w in spans] for spans in find_spans([t for t, _ in pairs], model)]
+    short = []
+    for kind in TYPES:
+        want = Counter((i, x) for i, (_, spans) in enumerate(pairs) for x in spans if x[0] == kind)
+        got = Counter((i, x) for i, spans in enumerate(found) for x in spans if x[0] == kind)
+        good = sum((want & got).values())
+        print(kind, good, sum(want.values()), sum(got.values()), sorted((want - got) | (got - want)))
+        short += [kind] if good < 0.9 * sum(want.values()) or good < 0.85 * sum(got.values()) else []
+    assert not short
 
-def test_held_out_lines(model):
+
+def test_lines_of_the_table_with_other_values(model):
     table = labelled_table(KNOWN, 2, seed=77)
     good = wrong = missed = 0
     for (text, spans), found in zip(table, find_spans([t for t, _ in table], model)):
@@ -23,6 +54,24 @@ def test_held_out_lines(model):
     assert good / (good + missed) > 0.85 and good / (good + wrong) > 0.9
 
 
+def test_settled_tokens_change_no_label(model):
+    """Whole lines decoded token by token give the same labels as the stretches between settled tokens."""
+    text = "\n".join(t for t, _ in labelled_table(KNOWN, 1, seed=5)) + "\n" + "We looked at the figures again and found that the older half of them is wrong. " * 40 + "\n\n" + "My name is Ann Smith, call 202-555-0143 or write to ann@mail.example. " * 20
+    tokens = pii.described(text, model.voc)
+    score, labels = model.scores(tokens), model.labels(tokens)
+    assert model.outside(score, np.append(tokens.line[1:] != tokens.line[:-1], True)).mean() > 0.15
+    for line in np.unique(tokens.line):
+        own = np.flatnonzero(tokens.line == line)
+        whole = model.viterbi(score[own][None].copy(), np.array([len(own)]), np.array([False]))[0]
+        assert (whole == labels[own]).all()
+
+
+def test_tokens_equal_the_plain_pattern():
+    text = "Ünï_cödé 12.5€ — straße42\tßa\n\n  x@y ①② 𝒳 end\r\n"
+    start, end, *_ = pii.tokens_of(text)
+    assert [text[a:b] for a, b in zip(start, end)] == pii.TOKEN.findall(text)
+
+
 def test_spans_are_exact(model):
     text = "Call +1-202-555-0143 during the day.\n# author: Mira Bergquist <mira.b@mail.example>\nThe stamp 1600000000 is 2020-09-13 in my zone."
     found = {(k, w) for _, _, k, w in find_spans([text], model)[0]}
