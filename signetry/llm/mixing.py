@@ -3,8 +3,9 @@
 A document of a listed source belongs to it. Documents without one are given domain posteriors by a naive Bayes
 classifier over hashed words, fitted on the labelled rows. Nonnegative rates, at most the repeats a source
 allows, are fitted by projected-gradient least squares on the expected tokens per domain; documents of equal
-membership and cap share a rate, so the iterations run over distinct memberships. Rates become whole repeats by
-a threshold on a hash of the id that is placed where the tokens of the source are met.
+membership and cap share a rate, so the iterations run over distinct memberships. Rates become whole repeats:
+very long documents, of which a source has few, are taken one by one in the order of a hash of their id, all others
+by a threshold on that hash which is placed where the tokens of the source are met.
 """
 
 from __future__ import annotations
@@ -22,7 +23,9 @@ from .tokens import VOCABULARY, token_count
 
 FEATURES = 4096
 LABELLED_PER_SOURCE = 2000  # rows per source the classifier is fitted on
-STEPS = 60
+STEPS = 200
+SPARE = 1.5  # share by which the first cut of the labelled rows exceeds what is kept
+LONG = 1000  # a document with more than this part of its source's tokens is decided on its own
 CLOSE = 1e-7
 CELLS = 1024
 
@@ -39,8 +42,10 @@ def fit_domains(labelled: DataFrame, domains: list[str], per_source: int = LABEL
     totals = {r["source"]: r["n"] for r in labelled.groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
     for k, d in enumerate(domains):
         prior[k] = math.log(totals.get(d, 0) + 1)
-    rank = F.row_number().over(Window.partitionBy("source").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = labelled.withColumn("__rank", rank).where(F.col("__rank") <= per_source)
+    cuts = F.create_map(*[x for d in domains for x in (F.lit(d), F.lit(SPARE * per_source / max(totals.get(d, 0), 1)))])
+    near = labelled.where((_uniform(F.col("doc_id")) < cuts[F.col("source")]) | F.col("doc_id").isNull())  # before the rank, so that no source is sorted whole
+    rank = F.row_number().over(Window.partitionBy("source").orderBy(_uniform(F.col("doc_id")), "doc_id"))
+    sample = near.withColumn("__rank", rank).where(F.col("__rank") <= per_source)
     rows = sample.select("source", _features(F.col("text")).alias("f"))
     counts = rows.select("source", F.explode("f").alias("f")).groupBy("source", "f").agg(F.count(F.lit(1)).alias("n")).collect()
     sizes = np.array([min(totals.get(d, 0), per_source) for d in domains], float)[:, None]
@@ -73,10 +78,11 @@ def rates_after(p: np.ndarray, cap: np.ndarray, history: np.ndarray) -> np.ndarr
     return rate
 
 
-def fit_rates(classes: DataFrame, wanted: np.ndarray, available: np.ndarray) -> np.ndarray:
-    """History of scaled residuals of the projected gradient; it determines every rate.
+def fit_rates(classes: DataFrame, wanted: np.ndarray, available: np.ndarray) -> tuple[np.ndarray, bool]:
+    """History of scaled residuals of the projected gradient, which determines every rate, and whether it settled.
 
-    ``classes`` has ``membership, cap, tokens``. Nothing but one sum per domain comes back from a step.
+    ``classes`` has ``membership, cap, tokens``. Nothing but one sum per domain comes back from a step. It has
+    settled when the residuals are met or no longer change, and goes on for STEPS at most.
     """
     k = len(wanted)
     history = np.zeros((0, k))
@@ -96,11 +102,11 @@ def fit_rates(classes: DataFrame, wanted: np.ndarray, available: np.ndarray) ->
         totals = np.array([x or 0.0 for x in sums])
         residual = (totals - wanted) / scale
         if len(history) and np.abs(residual * (available > 0)).max() < CLOSE:
-            break
+            return history, True
         if len(history) > 1 and np.allclose(residual, history[-1], atol=CLOSE) and np.allclose(history[-1], history[-2], atol=CLOSE):
-            break
+            return history, True
         history = np.vstack([history, residual])
-    return history
+    return history, False
 
 
 def _uniform(key: Column) -> Column:
@@ -142,6 +148,33 @@ def _thresholds(extra: DataFrame, needs: dict[str, float]) -> dict[str, float]:
     return out
 
 
+def _long_ones(extra: DataFrame, needs: dict[str, float], have: dict[str, float]) -> tuple[list[int], dict[str, float]]:
+    """Very long documents to draw once more, and what each source then still needs.
+
+    A source has at most LONG of them. They are taken in the order of their hash, each if it fits into the part
+    of the need that falls to the long ones, and after that as long as the short ones can't meet the need.
+    """
+    least = F.create_map(*[x for d, n in have.items() for x in (F.lit(d), F.lit(n / LONG))])
+    rows = extra.where(F.col("n_tokens") > least[F.col("source")]).select("doc_id", "source", "n_tokens", "u").collect()
+    chosen, rest = [], dict(needs)
+    for d, need in needs.items():
+        own = sorted((r["u"], r["doc_id"], r["n_tokens"]) for r in rows if r["source"] == d and r["doc_id"] is not None)
+        long = sum(n for _, _, n in own)
+        share, short = need * long / max(have[d], 1.0), have[d] - long
+        left = []
+        for _, doc, n in own:
+            if n <= share + have[d] / LONG / 2:
+                chosen.append(doc)
+                share, rest[d] = share - n, rest[d] - n
+            else:
+                left.append((doc, n))
+        for doc, n in left:
+            if rest[d] > short + n / 2:
+                chosen.append(doc)
+                rest[d] -= n
+    return chosen, rest
+
+
 def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, vocabulary: str = VOCABULARY) -> tuple[DataFrame, DataFrame]:
     """The drawn documents (doc_id, source, n_tokens, repeats) and the shares reached per source.
 
@@ -165,7 +198,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     present = [d for d in domains if tokens.get(d)]
     if not present:
         empty = rows.select("doc_id", "source", "n_tokens", F.lit(0).alias("repeats")).limit(0)
-        return empty, _shares(empty, listed, {})
+        return empty, _shares(empty, listed, {}).withColumn("fit_settled", F.lit(True))
     prior, odds = fit_domains(labelled.where(F.col("source").isin(*present)), present)
     one_hot = F.array(*[F.when(F.col("source") == d, 1.0).otherwise(0.0) for d in present])
     is_present = F.coalesce(F.col("source").isin(*present), F.lit(False))
@@ -182,7 +215,7 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     classes = stored(members.groupBy("membership", "cap").agg(F.sum("n_tokens").alias("tokens")))
     sums = classes.agg(*[F.sum(F.col("membership")[i] * F.col("tokens")) for i in range(len(present))]).first()
     available = np.array([x or 0.0 for x in sums])
-    history = fit_rates(classes, wanted, available)
+    history, settled = fit_rates(classes, wanted, available)
 
     @F.pandas_udf(T.DoubleType())
     def rate(membership: pd.Series, cap: pd.Series) -> pd.Series:
@@ -192,14 +225,22 @@ def mix(documents: DataFrame, targets: DataFrame, total_tokens: int | None = Non
     rated = members.withColumn("rate", F.round(rate("membership", "cap"), 9)).withColumn("u", _uniform(F.col("doc_id")))
     hard_rate = rates_after(np.eye(len(present)), cap, history)
     needs = {d: (hard_rate[i] - math.floor(hard_rate[i] + 1e-9)) * have[i] for i, d in enumerate(present)}
-    cuts = _thresholds(rated.select("source", "n_tokens", "u"), needs)
+    tokens_of = {d: float(have[i]) for i, d in enumerate(present)}
+    owned = rated.where(is_present).select("doc_id", "source", "n_tokens", "u")
+    taken, rest = _long_ones(owned, needs, tokens_of)
+    least = F.create_map(*[x for d in present for x in (F.lit(d), F.lit(tokens_of[d] / LONG))])
+    cuts = _thresholds(owned.where(F.col("n_tokens") <= least[F.col("source")]), rest)
     cut = F.create_map(*[x for d in present for x in (F.lit(d), F.lit(float(cuts[d])))])
+    spark = documents.sparkSession
+    one_more = F.broadcast(spark.createDataFrame([(i,) for i in taken], documents.select("doc_id").schema).distinct().withColumn("taken", F.lit(True)))  # LONG a source at most
+    rated = rated.join(one_more, "doc_id", "left")
     whole = F.floor(F.col("rate") + 1e-9)
-    limit = F.when(F.coalesce(F.col("source").isin(*present), F.lit(False)), cut[F.col("source")]).otherwise(F.col("rate") - whole)
-    repeats = F.least(whole + F.when(F.col("u") < limit, 1).otherwise(0), F.col("cap")).cast("int")
+    alone = F.col("n_tokens") > least[F.col("source")]
+    again = F.when(~is_present, F.col("u") < F.col("rate") - whole).when(alone, F.col("taken").isNotNull()).otherwise(F.col("u") < cut[F.col("source")])
+    repeats = F.least(whole + F.when(again, 1).otherwise(0), F.col("cap")).cast("int")
     chosen = rated.withColumn("repeats", repeats).where("repeats > 0")
     expected = {d: (float(w), i) for i, (d, w) in enumerate(zip(present, wanted))}
-    return chosen.select("doc_id", "source", "n_tokens", "repeats"), _shares(chosen, listed, expected)
+    return chosen.select("doc_id", "source", "n_tokens", "repeats"), _shares(chosen, listed, expected).withColumn("fit_settled", F.lit(settled))
 
 
 def _shares(chosen: DataFrame, listed: dict, expected: dict) -> DataFrame:

@@ -13,7 +13,7 @@ from .packing import fills, pack_all
 from .pii import redacted, with_pii
 from .spectral import describe, mutual_groups, node_clusters
 from .survivors import Vote, consensus, survivors
-from .tokens import token_count
+from .tokens import VOCABULARY, token_count
 
 
 # ---------------------------------------------------------------------------------- 2: survivors
@@ -104,9 +104,14 @@ def p6_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------- 7: containers
+def _vocabulary(spark: SparkSession) -> str:
+    """Rank file of the tokenizer, by the setting ``spark.signetry.vocabulary``."""
+    return spark.conf.get("spark.signetry.vocabulary", VOCABULARY)
+
+
 def p7_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    sizes = documents.select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    sizes = documents.select("doc_id", token_count(F.col("text"), _vocabulary(spark)).alias("n_tokens"))
     kinds = table(spark, sf_dir, "token_containers").where("container_name is not null and capacity_tokens > 0")
     capacities = {r["container_name"]: r["capacity_tokens"] for r in kinds.orderBy("container_name").collect()}
     return pack_all(sizes, capacities)
@@ -118,11 +123,11 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------------------------- 8: mixture
 def p8_chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary=_vocabulary(spark))[0]
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"), vocabulary=_vocabulary(spark))[1]
 
 
 # ---------------------------------------------------------------------------------- 9: personal information

@@ -35,6 +35,17 @@ def test_shares_are_met_within_a_document(spark):
     assert {6000, 6001}.isdisjoint(r["doc_id"] for r in chosen.collect())
 
 
+def test_a_few_very_long_documents_do_not_upset_the_shares(spark):
+    docs, words = _documents(spark, {"a": 300, "b": 300, "c": 40})
+    docs += [(7000 + i, "b", " ".join(words["b"] * (40 + 25 * i)), "clash", 9) for i in range(5)]
+    targets = spark.createDataFrame([("a", 0.45, 1), ("b", 0.4, 1), ("c", 0.15, 2)], TARGETS)
+    _, shares = mix(spark.createDataFrame(docs, DOCS), targets)
+    rows = {r["source"]: r for r in shares.collect()}
+    assert all(r["fit_settled"] for r in rows.values())
+    for s, share in (("a", 0.45), ("b", 0.4), ("c", 0.15)):
+        assert rows[s]["actual_share"] == pytest.approx(share, abs=0.01)
+
+
 def test_unlabelled_documents_help_the_domain_they_resemble(spark):
     docs, words = _documents(spark, {"a": 100, "b": 100})
     docs += [(9000, None, " ".join(words["b"] * 2), "", 0)]
