@@ -368,6 +368,13 @@ def _best_around(gain: np.ndarray, last: np.ndarray) -> np.ndarray:
     return upto(gain, line) + upto(gain[::-1], (line[-1] - line)[::-1])[::-1] - gain if len(gain) else gain
 
 
+def _add_up(out: np.ndarray, tables: list[np.ndarray], columns: list[np.ndarray]) -> None:
+    own = np.empty_like(out)
+    for table, column in zip(tables, columns):
+        np.take(table, column, axis=0, out=own, mode="clip")
+        out += own
+
+
 @dataclass
 class Model:
     voc: Vocabulary
@@ -378,9 +385,7 @@ class Model:
         wide, at = _apart_lines(tokens)
         out = np.zeros((len(at), K), np.float32)
         for first in range(0, len(at), CHUNK):
-            part = out[first : first + CHUNK]
-            for table, column in zip(self.tables, _columns(wide, at[first : first + CHUNK])):
-                part += table[column]
+            _add_up(out[first : first + CHUNK], self.tables, _columns(wide, at[first : first + CHUNK]))
         return out
 
     def viterbi(self, score: np.ndarray, lengths: np.ndarray, before_outside: np.ndarray) -> np.ndarray:
@@ -468,8 +473,8 @@ class _Part:
     def surplus(self, model: Model) -> tuple[np.ndarray, np.ndarray]:
         """Expected less observed labels of all tokens and moves, by the forward and backward sums of the chain."""
         total = np.zeros((self.n, K), np.float32)
-        for table, column in zip(model.tables, self.columns):
-            total += table[column]
+        for first in range(0, self.n, CHUNK):
+            _add_up(total[first : first + CHUNK], model.tables, [c[first : first + CHUNK] for c in self.columns])
         score = np.exp(np.maximum(total - total.max(1, keepdims=True), -LEAST).astype(np.float64))
         move = np.where(ALLOWED, np.exp(np.clip(model.moves, -LEAST, LEAST)), 0.0)
         forward, backward, scale = np.empty_like(score), np.ones_like(score), np.empty(self.n)
