@@ -1,4 +1,4 @@
-"""Node encoders: spectral features, signed neighbour means, and two small trained encoders.
+"""Node encoders: spectral features, signed neighbour means, and two trained encoders.
 
 Training runs in workers, one per seed and configuration, on graphs that fit there; its result is a table of node
 states. Larger graphs use the spectral features or take states as input.
@@ -14,10 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import autograd as ag
 from .events import message_edges
 from .laplacian import DENSE, HELD, _multiplier
 
 STATE = "node_id bigint, state array<double>"
+MOST_EDGES = 5_000_000  # that one worker trains on
+MARGIN = 0.5  # by which the status of two ends is to differ
 
 
 def signed_neighbour_mean(edges: DataFrame, state: DataFrame) -> DataFrame:
@@ -74,7 +77,9 @@ class EncoderConfig:
     layers: int = 2
     learning_rate: float = 0.01
     epochs: int = 100
-    balance: float = 5.0
+    balance: float = 5.0  # weight of the structure loss
+    direction: float = 5.0  # weight of the direction loss
+    triangle: float = 1.0  # weight of the triangle loss
 
 
 class Encoder(ABC):
@@ -89,6 +94,8 @@ class Encoder(ABC):
     def states(self, edges: DataFrame, features: DataFrame, config: EncoderConfig, seeds: list[int]) -> DataFrame:
         """``seed, node_id, state`` trained by one worker per seed; non-finite states raise an error."""
         spark = edges.sparkSession
+        if edges.limit(MOST_EDGES + 1).count() > MOST_EDGES or features.count() * max(config.input_dimension, 1) > HELD:
+            raise ValueError("the graph does not fit a worker; use spectral_features or give the states")
         rows = np.array([tuple(r) for r in edges.select("source", "target", "sign").collect()], np.int64).reshape(-1, 3)
         table = features.toPandas().sort_values("node_id")
         x = np.array(table["state"].tolist(), float)
@@ -104,117 +111,156 @@ class Encoder(ABC):
         return spark.createDataFrame([(s,) for s in seeds], "seed int").groupBy("seed").applyInPandas(run, f"seed int, {STATE}")
 
 
-class _Mean:
-    """Mean over the neighbours of one relation, and its transpose."""
+def _weights(rng: np.random.Generator, *shape: int) -> ag.Node:
+    return ag.Node(rng.standard_normal(shape) / np.sqrt(shape[0]))
 
-    def __init__(self, source: np.ndarray, target: np.ndarray, n: int) -> None:
-        self.source, self.target, self.n = source, target, n
-        self.scale = 1.0 / np.maximum(np.bincount(source, minlength=n), 1)[:, None]
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, x.shape[1]))
-        np.add.at(out, self.source, x[self.target])
-        return out * self.scale
+def _mean_of(x: ag.Node, source: np.ndarray, target: np.ndarray, n: int) -> ag.Node:
+    """Mean of the neighbours' rows; zeros for nodes without any."""
+    return ag.add_up(ag.take(x, target), source, n) * (1.0 / np.maximum(np.bincount(source, minlength=n), 1))[:, None]
 
-    def back(self, g: np.ndarray) -> np.ndarray:
-        out = np.zeros((self.n, g.shape[1]))
-        np.add.at(out, self.target, (g * self.scale)[self.source])
-        return out
 
+class _Trained(Encoder):
+    """Full-batch training with adapted step widths; subclasses give the parameters, the states and the loss."""
 
-class _Relational(Encoder):
-    """Layers of tanh([own, relation means] W) trained to tell the signs of edges and non-edges apart."""
+    def prepare(self, edges: np.ndarray, n: int, width: int, config: EncoderConfig, rng: np.random.Generator) -> None:
+        raise NotImplementedError
+
+    def forward(self, features: ag.Node) -> ag.Node:
+        raise NotImplementedError
 
-    def relations(self, edges: np.ndarray, n: int) -> list[_Mean]:
+    def loss(self, z: ag.Node, rng: np.random.Generator) -> ag.Node:
         raise NotImplementedError
 
     def fit(self, edges: np.ndarray, n: int, features: np.ndarray, config: EncoderConfig, seed: int) -> np.ndarray:
         rng = np.random.default_rng(seed)
-        means = self.relations(edges, n)
-        sizes = [features.shape[1]] + [config.output_dimension] * config.layers
-        weights = [rng.standard_normal(((len(means) + 1) * a, b)) / np.sqrt((len(means) + 1) * a) for a, b in zip(sizes, sizes[1:])]
-        readout = rng.standard_normal((2 * sizes[-1], 3)) / np.sqrt(2 * sizes[-1])
-        params = [*weights, readout]
-        first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-        source, target = edges[:, 0], edges[:, 1]
-        label = np.where(edges[:, 2] > 0, 0, 1)
+        self.prepare(edges, n, features.shape[1], config, rng)
+        first, second = [np.zeros_like(p.data) for p in self.parameters], [np.zeros_like(p.data) for p in self.parameters]
+        x = ag.Node(features)
         for epoch in range(1, config.epochs + 1):
-            states, inputs = [features], []
-            for w in weights:
-                inputs.append(np.concatenate([states[-1], *[m(states[-1]) for m in means]], 1))
-                states.append(np.tanh(inputs[-1] @ w))
-            z = states[-1]
-            u = np.concatenate([source, rng.integers(0, n, len(edges))])
-            v = np.concatenate([target, rng.integers(0, n, len(edges))])
-            y = np.concatenate([label, np.full(len(edges), 2)])
-            pairs = np.concatenate([z[u], z[v]], 1)
-            score = pairs @ readout
-            p = np.exp(score - score.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            loss = -np.log(np.maximum(p[np.arange(len(y)), y], 1e-12)).mean()
-            # structure: friends closer than strangers, strangers closer than enemies
-            stranger = rng.integers(0, n, len(edges))
-            near = ((z[source] - z[target]) ** 2).sum(1) - ((z[source] - z[stranger]) ** 2).sum(1)
-            way = np.where(edges[:, 2] > 0, 1.0, -1.0)
-            active = (way * near > 0).astype(float) * config.balance / len(edges)
-            loss += (active * way * near).sum()
-            if not np.isfinite(loss):
+            loss = self.loss(self.forward(x), rng)
+            if not np.isfinite(loss.data):
                 raise ValueError("the loss is not finite")
-            p[np.arange(len(y)), y] -= 1
-            p /= len(y)
-            grads = [None] * len(params)
-            grads[-1] = pairs.T @ p
-            spread = p @ readout.T
-            g = np.zeros_like(z)
-            np.add.at(g, u, spread[:, : sizes[-1]])
-            np.add.at(g, v, spread[:, sizes[-1] :])
-            c = (2 * active * way)[:, None]
-            np.add.at(g, source, c * (z[stranger] - z[target]))
-            np.add.at(g, target, c * (z[target] - z[source]))
-            np.add.at(g, stranger, c * (z[source] - z[stranger]))
-            for layer in range(config.layers - 1, -1, -1):
-                g = g * (1 - states[layer + 1] ** 2)
-                grads[layer] = inputs[layer].T @ g
-                back = g @ weights[layer].T
-                a = sizes[layer]
-                g = back[:, :a] + sum(m.back(back[:, (i + 1) * a : (i + 2) * a]) for i, m in enumerate(means))
-            for q, d, m, s in zip(params, grads, first, second):
-                m += 0.1 * (d - m)
-                s += 0.001 * (d * d - s)
-                q -= config.learning_rate * (m / (1 - 0.9**epoch)) / (np.sqrt(s / (1 - 0.999**epoch)) + 1e-8)
-        state = features
-        for w in weights:
-            state = np.tanh(np.concatenate([state, *[m(state) for m in means]], 1) @ w)
-        return state
-
-
-class UndirectedSigned(_Relational):
-    """Friends and enemies of undirected graphs. Without negative edges only the friends carry anything."""
-
-    def relations(self, edges: np.ndarray, n: int) -> list[_Mean]:
-        out = []
-        for way in (1, -1):
-            own = edges[np.sign(edges[:, 2]) == way]
-            out.append(_Mean(np.concatenate([own[:, 0], own[:, 1]]), np.concatenate([own[:, 1], own[:, 0]]), n))
-        return out
+            loss.gradients()
+            for q, m, s in zip(self.parameters, first, second):
+                m += 0.1 * (q.grad - m)
+                s += 0.001 * (q.grad * q.grad - s)
+                q.data -= config.learning_rate * (m / (1 - 0.9**epoch)) / (np.sqrt(s / (1 - 0.999**epoch)) + 1e-8)
+        return self.forward(x).data
+
 
+def structure_loss(z: ag.Node, source: np.ndarray, target: np.ndarray, sign: np.ndarray, stranger: np.ndarray) -> ag.Node:
+    """Friends are to be nearer than strangers, and strangers nearer than enemies."""
+    square = lambda a, b: ag.row_sums((ag.take(z, a) - ag.take(z, b)) * (ag.take(z, a) - ag.take(z, b)))
+    return ag.mean(ag.relu((square(source, target) - square(source, stranger)) * np.sign(sign)[:, None].astype(float)))
 
-class DirectedSigned(_Relational):
-    """Incoming and outgoing friends and enemies apart; input and output have the same width."""
+
+class UndirectedSigned(_Trained):
+    """Signed graph convolution of undirected graphs, as published by Derr, Ma and Tang (2018).
+
+    Every node has a balanced and an unbalanced half. The first layer takes friends into the balanced and enemies
+    into the unbalanced half; further layers follow the balance of paths: a friend's balanced and an enemy's
+    unbalanced half go into the balanced one, and the other way round. Training tells the signs of edges and
+    non-edges apart and adds the structure loss. Without negative edges the loss is that of links only: edges
+    against as many random pairs, and friends nearer than strangers.
+    """
+
+    def prepare(self, edges, n, width, config, rng):
+        if config.output_dimension % 2:
+            raise ValueError("the output must have two equal halves")
+        half = config.output_dimension // 2
+        self.n, self.config, self.edges = n, config, edges
+        way = np.sign(edges[:, 2])
+        ends = lambda own: (np.concatenate([own[:, 0], own[:, 1]]), np.concatenate([own[:, 1], own[:, 0]]))
+        self.friends, self.enemies = ends(edges[way > 0]), ends(edges[way < 0])
+        self.only_positive = not (way < 0).any()
+        sizes = [2 * width] + [3 * half] * (config.layers - 1)
+        self.balanced = [_weights(rng, size, half) for size in sizes]
+        self.unbalanced = [_weights(rng, size, half) for size in sizes]
+        self.readout = _weights(rng, 2 * config.output_dimension, 2 if self.only_positive else 3)
+        self.parameters = [*self.balanced, *self.unbalanced, self.readout]
+
+    def forward(self, features):
+        near = lambda x, of: _mean_of(x, *of, self.n)
+        b = ag.tanh(ag.beside(near(features, self.friends), features) @ self.balanced[0])
+        u = ag.tanh(ag.beside(near(features, self.enemies), features) @ self.unbalanced[0])
+        for wb, wu in zip(self.balanced[1:], self.unbalanced[1:]):
+            b, u = (
+                ag.tanh(ag.beside(near(b, self.friends), near(u, self.enemies), b) @ wb),
+                ag.tanh(ag.beside(near(u, self.friends), near(b, self.enemies), u) @ wu),
+            )
+        return ag.beside(b, u)
+
+    def loss(self, z, rng):
+        source, target, sign = self.edges.T
+        none = 1 if self.only_positive else 2
+        u = np.concatenate([source, rng.integers(0, self.n, len(source))])
+        v = np.concatenate([target, rng.integers(0, self.n, len(source))])
+        label = np.concatenate([np.where(sign > 0, 0, 1), np.full(len(source), none)])
+        link = ag.cross_entropy(ag.beside(ag.take(z, u), ag.take(z, v)) @ self.readout, label)
+        return link + structure_loss(z, source, target, sign, rng.integers(0, self.n, len(source))) * self.config.balance
+
+
+class DirectedSigned(_Trained):
+    """Signed directed network encoder after Huang, Shen, Cao, Tao and Cheng (2021).
+
+    Friends and enemies, incoming and outgoing, are four relations. In each a node takes its neighbours by
+    attention; what it has itself and what the relations bring goes through two layers. The loss has the signs of
+    edges, their direction by status (a positive edge points to a node of higher, a negative one to a node of
+    lower status), and the signs of edges once more, weighted by the triangles they are in.
+    """
 
     directed = True
 
-    def relations(self, edges: np.ndarray, n: int) -> list[_Mean]:
-        out = []
+    def prepare(self, edges, n, width, config, rng):
+        if width != config.output_dimension:
+            raise ValueError("input and output must have the same width")
+        self.n, self.config, self.edges = n, config, edges
+        self.relations = []
         for way in (1, -1):
             own = edges[np.sign(edges[:, 2]) == way]
-            out += [_Mean(own[:, 0], own[:, 1], n), _Mean(own[:, 1], own[:, 0], n)]
-        return out
-
-    def fit(self, edges: np.ndarray, n: int, features: np.ndarray, config: EncoderConfig, seed: int) -> np.ndarray:
-        if features.shape[1] != config.output_dimension:
-            raise ValueError("input and output must have the same width")
-        return super().fit(edges, n, features, config, seed)
+            self.relations += [(own[:, 0], own[:, 1]), (own[:, 1], own[:, 0])]
+        self.maps = [[_weights(rng, width, width) for _ in self.relations] for _ in range(config.layers)]
+        self.looks = [[(_weights(rng, width, 1), _weights(rng, width, 1)) for _ in self.relations] for _ in range(config.layers)]
+        self.mixes = [(_weights(rng, 5 * width, width), _weights(rng, width, width)) for _ in range(config.layers)]
+        self.status = _weights(rng, width, 1)
+        looks = [w for layer in self.looks for pair in layer for w in pair]
+        self.parameters = [*(w for layer in self.maps for w in layer), *looks, *(w for pair in self.mixes for w in pair), self.status]
+        self.triangles = _triangles(edges, n)
+
+    def forward(self, features):
+        x = features
+        for maps, looks, (inner, outer) in zip(self.maps, self.looks, self.mixes):
+            parts = [x]
+            for (source, target), w, (own, other) in zip(self.relations, maps, looks):
+                y = x @ w
+                raw = ag.relu(ag.take(y @ own, source) + ag.take(y @ other, target), 0.2)
+                high = np.full((self.n, 1), -np.inf)
+                np.maximum.at(high, source, raw.data)
+                weight = ag.exp(raw - high[source])
+                total = ag.add_up(weight, source, self.n)
+                share = weight * ag.take(ag.inverse(total + (total.data == 0).astype(float)), source)
+                parts.append(ag.add_up(ag.take(y, target) * share, source, self.n))
+            x = ag.tanh(ag.beside(*parts) @ inner) @ outer
+        return x
+
+    def loss(self, z, rng):
+        source, target, sign = self.edges.T
+        way = np.sign(sign)[:, None].astype(float)
+        agree = ag.softplus(ag.row_sums(ag.take(z, source) * ag.take(z, target)) * -way)
+        rank = z @ self.status
+        gap = ag.relu((ag.take(rank, target) - ag.take(rank, source)) * -way + MARGIN)
+        weight = self.triangles[:, None] / max(self.triangles.sum(), 1.0) * len(self.triangles)
+        return ag.mean(agree) + ag.mean(gap * gap) * self.config.direction + ag.mean(agree * weight) * self.config.triangle
+
+
+def _triangles(edges: np.ndarray, n: int) -> np.ndarray:
+    """Number of triangles that each edge closes, directions aside."""
+    a, b = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    pairs = np.unique(a * n + b)
+    order = np.split(pairs % n, np.searchsorted(pairs // n, np.arange(1, n)))
+    near = [set(x.tolist()) for x in order]
+    return np.array([len(near[u] & near[v]) for u, v in edges[:, :2].tolist()], float)
 
 
 ENCODERS: dict[str, type[Encoder]] = {"undirected": UndirectedSigned, "directed": DirectedSigned}

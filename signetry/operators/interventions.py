@@ -153,7 +153,7 @@ def non_edges(num_nodes: int, occupied: DataFrame, count: int, seed: int | str,
     """``source, target, sample_rank``: ``count`` node pairs without an edge in a hashed order, without replacement.
 
     Asking for more than there are raises an error. Small node sets order all their free pairs; large ones draw
-    pairs by hashes, several times as many as wanted, and keep the first free ones.
+    pairs by hashes, four times as many again while too few of them are free, and keep the first free ones.
     """
     spark = occupied.sparkSession
     taken = occupied.select(pair_low().alias("source"), pair_high().alias("target")).where("source <> target").distinct()
@@ -161,8 +161,21 @@ def non_edges(num_nodes: int, occupied: DataFrame, count: int, seed: int | str,
         nodes = spark.range(num_nodes)
         free = nodes.select(F.col("id").alias("source"), F.explode(F.sequence(F.col("id") + 1, F.lit(num_nodes))).alias("target")).where(F.col("target") < num_nodes)
     else:
+        open_ = num_nodes * (num_nodes - 1) // 2 - taken.count()
+        if open_ < count:
+            raise ValueError(f"only {open_} of {count} pairs are free")
         pick = lambda salt: F.pmod(F.xxhash64("id", F.lit(str(seed)), F.lit(salt)), F.lit(num_nodes))
-        free = spark.range(2 * count + 1000).select(F.least(pick(1), pick(2)).alias("source"), F.greatest(pick(1), pick(2)).alias("target")).where("source < target").distinct()
+        draws = 2 * count + 1000
+        while True:
+            drawn = spark.range(draws).select(F.least(pick(1), pick(2)).alias("source"), F.greatest(pick(1), pick(2)).alias("target")).where("source < target").distinct()
+            if draws > 8 * num_nodes * num_nodes:  # nearly all pairs are taken, or wanted
+                nodes = spark.range(num_nodes)
+                drawn = nodes.select(F.col("id").alias("source"), F.explode(F.sequence(F.col("id") + 1, F.lit(num_nodes))).alias("target")).where(F.col("target") < num_nodes)
+                break
+            if drawn.join(taken, ["source", "target"], "left_anti").count() >= count:
+                break
+            draws *= 4
+        free = drawn
     free = free.join(taken, ["source", "target"], "left_anti").withColumn("__key", hash_key(seed, "source", "target"))
     out = free.orderBy("__key", "source", "target").limit(count)
     ranked = stored(out.withColumn("sample_rank", F.row_number().over(Window.orderBy("__key", "source", "target"))).drop("__key"))
@@ -264,6 +277,33 @@ def greedy_order(edges: DataFrame, coordinates: DataFrame, candidates: DataFrame
     return edges.sparkSession.createDataFrame(out)
 
 
+def initial_prefilter(edges: DataFrame, coordinates: DataFrame, candidates: DataFrame, budget: int, cap: int, n: int, eta: float = 0.1, alpha: float = ANTAGONISTIC_WEIGHT) -> DataFrame:
+    """The ``cap`` candidates of greatest first gain, for large pools; a pool within the cap stays as it is.
+
+    Equal gains go to the earlier candidate. Gains are worked out where the candidates are, only the vectors of
+    the nodes are sent there; the driver never holds the pool.
+    """
+    if cap < budget:
+        raise ValueError("the cap must not be below the budget")
+    if candidates.limit(cap + 1).count() <= cap:
+        return candidates
+    conducting = weighted_edges(edges, 1.0, eta)
+    solver = Solver(conducting, n, grounded=True)
+    z, y = held_values(coordinates, n), held_values(antagonistic_signal(edges, coordinates), n)
+    held = (solver.solve(z - z.mean(0)), solver.solve(y - y.mean(0)), resistance_sketch(conducting, solver))
+    sent = edges.sparkSession.sparkContext.broadcast(held)  # at most three blocks of HELD numbers
+
+    @F.pandas_udf("double")
+    def gain(source: pd.Series, target: pd.Series) -> pd.Series:
+        hz, hy, sketch = sent.value
+        u, v = source.to_numpy(), target.to_numpy()
+        return pd.Series(edge_gains(hz, hy, np.maximum(((sketch[u] - sketch[v]) ** 2).sum(1), 1e-12), u, v, alpha))
+
+    tie = "sample_rank" if "sample_rank" in candidates.columns else "source"
+    ranked = candidates.withColumn("__gain", gain("source", "target")).orderBy(F.desc("__gain"), tie, "source", "target")
+    return ranked.limit(cap).drop("__gain")
+
+
 def batch_select(order: np.ndarray, available: np.ndarray, codes: np.ndarray, counts: np.ndarray, take: int, equal: bool, done: int, pairs: int, keys: np.ndarray) -> list[int]:
     """The next ``take`` of an order: free, of no edge already taken, and in equal mode within each pair's quota."""
     picked: list[int] = []

@@ -151,6 +151,18 @@ def _conjugate(times, diagonal: np.ndarray, rhs: np.ndarray, rtol: float, atol:
     raise NotConverged("the conjugate gradients ended above the tolerance")
 
 
+def _lower_inverse(lower: np.ndarray, least: int = 64) -> np.ndarray:
+    """Inverse of a lower triangular matrix by halves, small ones being solved at once."""
+    n = len(lower)
+    if n <= least:
+        return np.linalg.solve(lower, np.eye(n))
+    m = n // 2
+    out = np.zeros_like(lower)
+    out[:m, :m], out[m:, m:] = _lower_inverse(lower[:m, :m], least), _lower_inverse(lower[m:, m:], least)
+    out[m:, :m] = -out[m:, m:] @ lower[m:, :m] @ out[:m, :m]
+    return out
+
+
 class Solver:
     """Systems with a connected Laplacian over the nodes 0..n-1, right-hand sides being driver-held columns.
 
@@ -161,6 +173,7 @@ class Solver:
     def __init__(self, conducting: DataFrame, n: int, grounded: bool = False, rtol: float = 1e-7, atol: float = 1e-10, steps: int = 10_000, dense: int = DENSE) -> None:
         self.n, self.grounded, self.rtol, self.atol, self.steps = n, grounded, rtol, atol, steps
         self.matrix = _dense(conducting, n) if n <= dense else None
+        self.inverse = None
         if self.matrix is None:
             self.times, self.kept = _multiplier(conducting, n)
             degrees = message_edges(conducting).groupBy("source").agg(F.sum("c").alias("d")).toPandas()
@@ -170,11 +183,15 @@ class Solver:
     def solve(self, rhs: np.ndarray) -> np.ndarray:
         rhs = np.asarray(rhs, float).reshape(self.n, -1)
         if self.matrix is not None:
-            if self.grounded:
-                out = np.zeros_like(rhs)
-                out[:-1] = np.linalg.solve(self.matrix[:-1, :-1], rhs[:-1])
-                return out
-            return np.linalg.solve(self.matrix + 1.0 / self.n, rhs)
+            out = np.zeros_like(rhs)
+            own = slice(0, self.n - 1) if self.grounded else slice(0, self.n)
+            if self.inverse is None:  # made once, however many systems follow
+                self.system = self.matrix[own, own] if self.grounded else self.matrix + 1.0 / self.n
+                lower = _lower_inverse(np.linalg.cholesky(self.system))
+                self.inverse = lower.T @ lower
+            x = self.inverse @ rhs[own]
+            out[own] = x + self.inverse @ (rhs[own] - self.system @ x)  # one step of refinement
+            return out
         if rhs.size > HELD:
             raise ValueError("too many numbers for the driver; use solve_table")
         if not self.grounded:
@@ -185,7 +202,7 @@ class Solver:
         return _conjugate(inner, np.where(self.diagonal > 0, self.diagonal, 1.0), rhs * mask, self.rtol, 0.0, self.steps)
 
 
-def solve_table(conducting: DataFrame, rhs: DataFrame, rtol: float = 1e-7, atol: float = 1e-10, steps: int = 500) -> DataFrame:
+def solve_table(conducting: DataFrame, rhs: DataFrame, rtol: float = 1e-7, atol: float = 1e-10, steps: int = 10_000) -> DataFrame:
     """``node_id, value`` solving the centred system for ``rhs`` (node_id, value ARRAY<DOUBLE>), all of it as tables.
 
     ``rhs`` has a row for every node and sums to zero per axis (else it is centred), so the sums stay zero and
@@ -226,10 +243,10 @@ def solve_table(conducting: DataFrame, rhs: DataFrame, rtol: float = 1e-7, atol:
 
 def held_values(values: DataFrame, n: int) -> np.ndarray:
     """``values`` (node_id, value) as an array on the driver, rows by node id, missing nodes as zeros."""
-    rows = values.toPandas()
-    width = len(rows["value"].iloc[0]) if len(rows) else 0
-    if n * max(width, 1) > HELD:
+    count, width = values.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("value")), F.lit(0))).first()
+    if max(n, count) * max(width, 1) > HELD:
         raise ValueError("too many numbers for the driver")
+    rows = values.toPandas()
     out = np.zeros((n, width))
     if len(rows):
         out[rows["node_id"].to_numpy()] = np.array(rows["value"].tolist(), float)

@@ -72,12 +72,11 @@ def fit_probe(rows: DataFrame, balanced: bool = False, c: float = 1.0, iteration
     rows = rows.withColumn("weight", F.create_map(*[F.lit(x) for pair in weights.items() for x in pair])[F.col("label")])
     family = "multinomial" if max(counts) > 1 else "binomial"
     model = LogisticRegression(family=family, regParam=1.0 / (c * total), standardization=False, maxIter=iterations, weightCol="weight", tol=1e-8)
-    return model.fit(stored_rows(rows))
-
-
-def stored_rows(rows: DataFrame) -> DataFrame:
-    """Training rows are read once per step, so they are kept in memory and on disk rather than made anew."""
-    return rows.persist()
+    kept = rows.persist()  # training reads its rows once per step
+    try:
+        return model.fit(kept)
+    finally:
+        kept.unpersist()
 
 
 def predict(model, rows: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ panel share their draws.
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -83,6 +84,53 @@ def negative_probabilities(available_intra: int, available_inter: int, expected:
     return q_in, q_out
 
 
+def inter_community_edges(edges: DataFrame, nodes: DataFrame, sign: int = -1) -> DataFrame:
+    """One row ``n_edges, n_between``: the edges of that sign, and those among them between two communities.
+
+    ``nodes`` has ``node_id, community``; an edge with an end of no community counts as one between none.
+    """
+    one = nodes.select(F.col("node_id").alias("source"), F.col("community").alias("a"))
+    two = nodes.select(F.col("node_id").alias("target"), F.col("community").alias("b"))
+    placed = edges.where(F.signum("sign") == sign).join(one, "source", "left").join(two, "target", "left")
+    return placed.agg(F.count(F.lit(1)).alias("n_edges"), F.count_if(F.col("a") != F.col("b")).alias("n_between"))
+
+
+def unsigned_panel(spark: SparkSession, n: int, k: int, expected: float, p_outs: list[float], seed: int = 0, attempts: int = 20) -> DataFrame:
+    """``level, source, target, sign`` of stochastic block models with one expected number of edges.
+
+    Each level has its probability between communities; that inside follows from the expected number. Levels
+    share the uniform number of a pair. If a level is not connected all are drawn anew with the next attempt.
+    """
+    pools = stored(pair_pools(balanced_communities(spark, n, k)))
+    for attempt in range(attempts):
+        levels = []
+        for level, p_out in enumerate(p_outs):
+            layer = stored(bernoulli_layer(pools, within_probability(n, k, expected, p_out), p_out, f"{seed}|{attempt}|positive"))
+            if not is_connected(layer, n):
+                break
+            levels.append(layer.select(F.lit(level).alias("level"), "source", "target", F.lit(1).alias("sign")))
+        if len(levels) == len(p_outs):
+            return functools.reduce(DataFrame.unionByName, levels)
+    raise ValueError("no attempt gave connected layers")
+
+
+def signed_panel(positive: DataFrame, pools: DataFrame, expected: float, fractions: list[float], seed: int = 0) -> DataFrame:
+    """``level, source, target, sign``: negatives drawn among the free pairs of fixed positives (source, target).
+
+    Each level has its share of negatives between communities at one expected number of them. Levels share the
+    uniform number of a pair.
+    """
+    taken = positive.select("source", "target")
+    free = stored(pools.join(taken, ["source", "target"], "left_anti"))
+    intra, inter = free.agg(F.count_if("same"), F.count_if(~F.col("same"))).first()
+    out = []
+    for level, fraction in enumerate(fractions):
+        q_in, q_out = negative_probabilities(intra, inter, expected, fraction)
+        negative = bernoulli_layer(free, q_in, q_out, f"{seed}|negative").select("source", "target", F.lit(-1).alias("sign"))
+        out.append(taken.withColumn("sign", F.lit(1)).unionByName(negative).select(F.lit(level).alias("level"), "source", "target", "sign"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def signed_edges(positive: DataFrame, negative: DataFrame, seed: int | str) -> DataFrame:
     """``event_id, source, target, sign, weight`` of two disjoint layers, directions and order hashed."""
     if not positive.join(negative, ["source", "target"], "left_semi").isEmpty():

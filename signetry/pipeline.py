@@ -11,7 +11,7 @@ from .functions.columns import sign_of
 from .operators import communities, interventions, learning, polarization
 from .operators.components import largest_component
 from .operators.encoders import ENCODERS, EncoderConfig, spectral_features
-from .operators.events import apply_ids, build_events, keep_last, sorted_ids
+from .operators.events import apply_ids, build_events, fingerprint, keep_last, sorted_ids
 from .operators.splits import check_splits, split_snapshot
 from .session import stored
 from .sources.artifacts import write_dataset
@@ -105,6 +105,29 @@ def evaluate(train: DataFrame, val: DataFrame, test: DataFrame, state: DataFrame
     return learning.probe_metrics(rows.where("split = 'train'"), rows.where("split = 'test'"), list(range(labels)))
 
 
+def panel_measurements(panel: DataFrame, n: int, k: int, seeds: list[int], encoder: str = "undirected", config: EncoderConfig | None = None, done: DataFrame | None = None, profile: Profile = SMALL) -> DataFrame:
+    """``level, seed, fingerprint, structural_energy, antagonistic_energy, polarization`` of states trained on each level.
+
+    ``panel`` has ``level, source, target, sign``. Rows of ``done`` whose level, seed and graph fingerprint are the
+    same are taken over instead of being trained anew.
+    """
+    spark = panel.sparkSession
+    names = ("level", "seed", "fingerprint", "structural_energy", "antagonistic_energy", "polarization")
+    kept = {(r["level"], r["seed"], r["fingerprint"]): r for r in done.collect()} if done is not None else {}  # a row per level and seed
+    rows = []
+    for level in sorted(r["level"] for r in panel.select("level").distinct().collect()):
+        edges = stored(panel.where(F.col("level") == level).select("source", "target", "sign"))
+        mark = fingerprint(edges).first()["fingerprint"]
+        for seed in seeds:
+            if (level, seed, mark) in kept:
+                rows.append(tuple(kept[level, seed, mark][c] for c in names))
+                continue
+            state = stored(train_state(edges, n, encoder, config, seed))
+            out = polarization.measure(edges, state, k, profile.eta, profile.alpha).first()
+            rows.append((level, seed, mark, out["structural_energy"], out["antagonistic_energy"], out["polarization"]))
+    return spark.createDataFrame(rows, "level int, seed int, fingerprint string, structural_energy double, antagonistic_energy double, polarization double")
+
+
 def quick(raw: DataFrame, temporal: bool, k: int, rate: float = 0.05, minimum_size: int = 2, config: EncoderConfig | None = None) -> dict:
     """One seed of everything: score and test metrics before and after adding edges for one budget."""
     done = preprocess(raw.withColumn("weight", F.col("weight").cast("double")), temporal)
@@ -134,4 +157,4 @@ def full(raw: DataFrame, temporal: bool, seeds: list[int], k: int | None = None,
     return out
 
 
-__all__ = ["LARGE", "SMALL", "Prepared", "Profile", "build_dataset", "estimate_k", "evaluate", "full", "gray_zones", "measure", "preprocess", "quick", "select_edges", "sign_of", "train_state"]
+__all__ = ["LARGE", "SMALL", "Prepared", "Profile", "build_dataset", "estimate_k", "evaluate", "full", "gray_zones", "measure", "panel_measurements", "preprocess", "quick", "select_edges", "sign_of", "train_state"]

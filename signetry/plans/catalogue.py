@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import cleaning, graphs, measures, mitigation, training
 
 MODULES = [cleaning, graphs, measures, mitigation, training]
-FLAGSHIP = measures.polarization_report
+FLAGSHIP = measures.polarization_score
 
 
 def queries() -> dict:

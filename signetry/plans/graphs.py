@@ -9,7 +9,7 @@ from ..operators import components, events, laplacian, splits
 from ..operators.ranking import global_rank
 from ..session import shared_root, stored, table
 from ..sources.readers import edge_list, monotone_clock, vote_blocks
-from ..streaming.keep_last import start_parquet, streaming_latest
+from ..streaming.keep_last import read_parquet, start_parquet, streaming_latest
 from .inputs import EVENTS_SQL, SPARSE_SQL, TRADE_SQL, VECTOR_SQL, rating_events, rating_graph, registered, trade_graph, vector_graph
 
 
@@ -182,7 +182,7 @@ def stream_keep_last(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     log = rows.select("event_id", "source", "target", "weight", F.signum("weight").cast("int").alias("sign"), F.coalesce(usable_seconds(F.col("timestamp")), F.lit(-1)).alias("ts"))
     start_parquet(streaming_latest(log, ["ts", "event_id", "weight"], "sign"), f"{path}/table", f"{path}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{path}/table")
+    return read_parquet(spark, f"{path}/table")
 
 
 _BOTH = "SELECT source, target, sign FROM {0} UNION ALL SELECT target, source, sign FROM {0}"

@@ -66,6 +66,24 @@ def _connected(spark: SparkSession, sf_dir: str, positive: bool = False) -> tupl
     return stored(apply_ids(graph, ids)), stored(state)
 
 
+def polarization_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of given coordinates over the largest component: both energies by solving the Laplacian's systems."""
+    graph = stored(vector_graph(spark, sf_dir))
+    ids = stored(sorted_ids(largest_component(graph)))
+    values = stored(short_coordinates(spark, sf_dir).withColumnRenamed("node_id", "raw_id").join(ids, "raw_id").select("node_id", "value"))
+    record = polarization.energy_components(stored(apply_ids(graph, ids)), values, ids.count(), checked=True)
+    whole = ["num_nodes", "num_edges", "positive_edges", "negative_edges"]
+    rounded = ["structural_energy", "antagonistic_energy", "structural_score", "polarization"]
+    return spark.createDataFrame([tuple([record[c] for c in whole] + [round(record[c], 5) for c in rounded])], ", ".join([f"{c} bigint" for c in whole] + [f"{c} double" for c in rounded]))
+
+
+def er_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The baseline over the positive layer for the first coordinate as opinion."""
+    opinions = short_coordinates(spark, sf_dir).select("node_id", F.col("value")[0].alias("opinion"))
+    score = polarization.er_baseline(stored(vector_graph(spark, sf_dir)), opinions, node_count(spark, sf_dir))
+    return spark.createDataFrame([(round(score, 5),)], "er_polarization double")
+
+
 def polarization_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, state = _connected(spark, sf_dir)
     return polarization.measure(edges, state, 2, checked=True).unionByName(polarization.measure(edges, state, 8, checked=True))
@@ -208,12 +226,34 @@ FROM lay JOIN part a ON a.node_id = source JOIN part b ON b.node_id = target GRO
 SELECT source AS node_id, CASE WHEN sign > 0 THEN 'positive' ELSE 'negative' END AS layer, count(*)::DOUBLE AS degree FROM b GROUP BY ALL""",
 }
 
+def _solved(conductance: str, signals: str, rounds: int = 120) -> str:
+    """SQL that solves the systems of a connected Laplacian by rounds of x <- x + (b - L x) / d, as ``energy`` per kind."""
+    return f"""e AS (SELECT source, target, {conductance} AS c FROM both_), deg AS (SELECT source AS node_id, sum(c) AS d FROM e GROUP BY source),
+m AS MATERIALIZED (SELECT source, target, c / d AS w FROM e JOIN deg ON node_id = source), sig AS ({signals}),
+b AS (SELECT kind, axis, node_id, x - avg(x) OVER (PARTITION BY kind, axis) AS b FROM sig), bd AS MATERIALIZED (SELECT kind, axis, node_id, b / d AS x FROM b JOIN deg USING (node_id)),
+it(k, kind, axis, node_id, x) AS (SELECT 0, kind, axis, node_id, x FROM bd
+  UNION ALL SELECT it.k + 1, it.kind, it.axis, m.source, sum(m.w * it.x) + any_value(bd.x) FROM it JOIN m ON m.target = it.node_id JOIN bd ON bd.kind = it.kind AND bd.axis = it.axis AND bd.node_id = m.source
+  WHERE it.k < {rounds} GROUP BY it.k, it.kind, it.axis, m.source),
+energy AS (SELECT kind, sum(b.b * it.x) / count(DISTINCT axis) AS energy FROM it JOIN b USING (kind, axis, node_id) WHERE k = {rounds} GROUP BY kind)"""
+
+
+_PULL = "SELECT 'y' AS kind, axis, node_id, coalesce(p.x, 0) AS x FROM c4 LEFT JOIN (SELECT b.source AS node_id, s.axis, sum(s.x - t.x) AS x FROM both_ b JOIN c4 s ON s.node_id = b.source JOIN c4 t ON t.node_id = b.target AND t.axis = s.axis WHERE b.sign < 0 GROUP BY ALL) p USING (node_id, axis)"
+ORACLE |= {
+    "polarization_score": f"""WITH RECURSIVE {STATE_SQL}, {_SHORT}, {VECTOR_SQL}, {_BOTH}, {_solved(_COND, "SELECT 'z' AS kind, axis, node_id, x FROM c4 UNION ALL " + _PULL)},
+two AS (SELECT max(energy) FILTER (kind = 'z') AS z, max(energy) FILTER (kind = 'y') AS y FROM energy)
+SELECT (SELECT count(DISTINCT node_id) FROM c4) AS num_nodes, (SELECT count(*) FROM g) AS num_edges, (SELECT count(*) FROM g WHERE sign > 0) AS positive_edges, (SELECT count(*) FROM g WHERE sign < 0) AS negative_edges,
+  round(z, 5) AS structural_energy, round(y, 5) AS antagonistic_energy, round(sqrt(z), 5) AS structural_score, round(sqrt(z + 0.05::DOUBLE * y), 5) AS polarization FROM two""",
+    "er_score": f"""WITH RECURSIVE {STATE_SQL}, {_SHORT}, {VECTOR_SQL}, both_ AS (SELECT source, target FROM g WHERE sign > 0 UNION ALL SELECT target, source FROM g WHERE sign > 0),
+{_solved("1.0::DOUBLE", "SELECT 'o' AS kind, axis, node_id, x FROM c4 WHERE axis = 0")} SELECT round(sqrt(energy), 5) AS er_polarization FROM energy""",
+}
+
 _QUERIES = [
+    polarization_score, er_score,
     centered_state, gram_matrix, l2_normalized_state, antagonistic_signal, laplacian_product, quadratic_form, solver_residual, polarization_report, sensitivity, er_baseline, tsvd_features, signed_neighbor_mean, encoder_states,
     signed_modularity, community_layers, community_sizes, packed_communities, candidate_communities, move_gain, induced_graph, flatten_levels, renumbered, mode_first_occurrence, louvain_k, louvain_runs, sweep_communities, rating_degrees_by_layer,
 ]
 WHOLE = {
     "centered_state", "gram_matrix", "l2_normalized_state", "antagonistic_signal", "laplacian_product", "quadratic_form", "tsvd_features", "signed_neighbor_mean", "encoder_states", "signed_modularity", "community_layers", "community_sizes", "packed_communities", "candidate_communities", "move_gain", "induced_graph", "flatten_levels", "renumbered", "louvain_k", "louvain_runs", "polarization_report", "sensitivity", "er_baseline",
 }
-CONNECTED = {"solver_residual"}
+CONNECTED = {"solver_residual", "polarization_score"}
 QUERIES = registered(_QUERIES, ORACLE, WHOLE, CONNECTED)

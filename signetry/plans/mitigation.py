@@ -90,6 +90,11 @@ def greedy_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return iv.prefix_energies(edges, coordinates, stored(iv.greedy_order(edges, coordinates, pool, 20, node_count(spark, sf_dir))), [5, 10, 15, 20], node_count(spark, sf_dir))
 
 
+def prefiltered_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges, coordinates, pool = _problem(spark, sf_dir)
+    return iv.initial_prefilter(edges, coordinates, pool, 20, 50, node_count(spark, sf_dir))
+
+
 def batched_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges, coordinates, pool = _problem(spark, sf_dir)
     return iv.batched_greedy(edges, coordinates, pool, 20, 10, node_count(spark, sf_dir), equal=True)
@@ -138,7 +143,7 @@ SELECT rate, CAST(greatest(1, floor(rate * n)) AS BIGINT) AS budget, CAST(20 * g
 }
 
 _QUERIES = [
-    retained_communities, community_pairs, centroids, gray_ranking, gray_union, candidate_sample, proposed_candidates, non_edges, augment_edges, random_baseline, edge_jaccard, budget_plan, greedy_order, greedy_curve, batched_greedy, global_baseline,
+    retained_communities, community_pairs, centroids, gray_ranking, gray_union, candidate_sample, proposed_candidates, non_edges, augment_edges, random_baseline, edge_jaccard, budget_plan, prefiltered_candidates, greedy_order, greedy_curve, batched_greedy, global_baseline,
     kmeans_communities,
 ]
 WHOLE = {

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import hash_uniform
 from ..operators import learning, synthetic
 from ..session import stored
-from .inputs import NODES, SPLIT_SQL, VECTOR_SQL, node_count, registered, short_coordinates, uniform_sql, vector_splits, vector_state
+from .inputs import LABEL_SQL, NODES, SPLIT_SQL, VECTOR_SQL, node_count, registered, short_coordinates, uniform_sql, vector_graph, vector_labels, vector_splits, vector_state
 
 N, K = 200, 4
 
@@ -144,6 +144,31 @@ def signed_generator(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synthetic.signed_edges(positive, negative, 1)
 
 
+P_OUTS, EXPECTED, FRACTIONS = [0.005, 0.02, 0.04], 1200.0, [0.2, 0.5, 0.8]
+
+
+def unsigned_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.unsigned_panel(spark, N, K, EXPECTED, P_OUTS)
+
+
+def signed_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pools = stored(sbm_pair_pools(spark, sf_dir))
+    return synthetic.signed_panel(stored(synthetic.exact_layer(pools, 900, 0.8, "p")), pools, 300, FRACTIONS)
+
+
+def inter_community_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synthetic.inter_community_edges(vector_graph(spark, sf_dir), vector_labels(spark, sf_dir))
+
+
+def panel_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States trained and measured on the levels of a structural panel."""
+    from ..operators.encoders import EncoderConfig
+    from ..pipeline import panel_measurements as measured
+
+    panel = stored(synthetic.structural_panel(spark, N, K, 1500, 300, [0.6, 0.9], [0.6, 0.95]))
+    return measured(panel, N, 4, [0], config=EncoderConfig(8, 8, 2, 0.02, 30))
+
+
 def held_out_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     pools = stored(sbm_pair_pools(spark, sf_dir))
     return synthetic.held_out(synthetic.exact_layer(pools, 500, 0.8, 5), pools, 100, 0.2, 9)
@@ -241,11 +266,26 @@ SELECT node_id, community, round(cos(angle) + f * cos(t), 6) + 0.0 AS layout_x,
 SELECT node_id, round(opinion, 6) + 0.0 AS opinion FROM a JOIN b USING (k)""",
 }
 
+def _probability_sql(level_probabilities: list[tuple[float, float]], seed: str) -> str:
+    rows = ", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for i, (a, b) in enumerate(level_probabilities))
+    return f"SELECT level, source, target FROM free, (VALUES {rows}) p(level, inside, outside) WHERE {uniform_sql(repr(seed), 'source', 'target')} < CASE WHEN same THEN inside ELSE outside END"
+
+
+ORACLE |= {
+    "unsigned_panel": f"WITH {_POOL}, free AS (SELECT * FROM pool), drawn AS ({_probability_sql([(synthetic.within_probability(N, K, EXPECTED, p), p) for p in P_OUTS], '0|0|positive')}) SELECT CAST(level AS INTEGER) AS level, source, target, 1 AS sign FROM drawn",
+    "signed_panel": f"""WITH {_POOL}, pos AS ({_ranked(900, 0.8, "p")}), free AS (SELECT * FROM pool ANTI JOIN pos USING (source, target)),
+q AS (SELECT level, 300.0::DOUBLE * (1 - f) / (SELECT count(*) FROM free WHERE same) AS inside, 300.0::DOUBLE * f / (SELECT count(*) FROM free WHERE NOT same) AS outside FROM (VALUES (0, 0.2::DOUBLE), (1, 0.5), (2, 0.8)) t(level, f)),
+neg AS (SELECT level, source, target FROM free, q WHERE {uniform_sql("'0|negative'", "source", "target")} < CASE WHEN same THEN inside ELSE outside END)
+SELECT CAST(level AS INTEGER) AS level, source, target, 1 AS sign FROM pos, q UNION ALL SELECT CAST(level AS INTEGER), source, target, -1 FROM neg""",
+    "inter_community_negatives": f"WITH {VECTOR_SQL}, {LABEL_SQL} SELECT count(*) AS n_edges, count(*) FILTER (a.community <> b.community) AS n_between FROM g LEFT JOIN part a ON a.node_id = source LEFT JOIN part b ON b.node_id = target WHERE sign < 0",
+}
+
 _QUERIES = [
+    unsigned_panel, signed_panel, inter_community_negatives, panel_measurements,
     signed_examples, forbidden_pairs, three_class_examples, label_histogram, endpoint_features, confusion_matrix, class_f1, f1_report, auc_rank, probe_metrics, config_grid, select_config, selected_runs, level_aggregate, spearman, final_report,
     balanced_communities, sbm_pair_pools, allocation, exact_layer, bernoulli_layer, structural_panel, prevalence_panel, signed_generator, held_out_pairs, generated_opinions, permuted_opinions, node_layout, er_panel_report,
 ]
 WHOLE = {
-    "signed_examples", "forbidden_pairs", "three_class_examples", "label_histogram", "endpoint_features", "confusion_matrix", "class_f1", "f1_report", "auc_rank", "probe_metrics", "level_aggregate", "spearman",
+    "inter_community_negatives", "signed_examples", "forbidden_pairs", "three_class_examples", "label_histogram", "endpoint_features", "confusion_matrix", "class_f1", "f1_report", "auc_rank", "probe_metrics", "level_aggregate", "spearman",
 }
 QUERIES = registered(_QUERIES, ORACLE, WHOLE, set())

@@ -19,15 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_root(spark: SparkSession) -> str:
     """Folder for intermediate tables that every executor can read.
 
-    It is the one named by ``spark.checkpoint.dir``; only a local session without that setting gets a
-    folder of its own, and a cluster without it falls back to the warehouse folder.
+    It is the one named by ``spark.checkpoint.dir``. A local session without that setting gets a folder of its
+    own, a cluster without it raises an error.
     """
     app = spark.sparkContext.applicationId
     if app not in _ROOTS:
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            local = spark.sparkContext.master.split("[")[0] == "local"
-            base = "file://" + tempfile.mkdtemp(prefix="signetry-") if local else spark.conf.get("spark.sql.warehouse.dir")
+            if spark.sparkContext.master.split("[")[0] != "local":
+                raise ValueError("a cluster needs spark.checkpoint.dir, a folder that all executors share")
+            base = "file://" + tempfile.mkdtemp(prefix="signetry-")
         _ROOTS[app] = f"{base.rstrip('/')}/signetry-{app}"
         atexit.register(_remove, spark, _ROOTS[app])
     return _ROOTS[app]

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import io
 from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -192,3 +195,31 @@ def resolve_selected(selected: DataFrame, seed: int) -> str:
     if len(rows) != 1:
         raise ValueError(f"{len(rows)} selected runs for seed {seed}")
     return rows[0]["run_dir"]
+
+
+def read_npy(spark: SparkSession, path: str, chunk: int = 10_000) -> DataFrame:
+    """``node_id, state``: the rows of matrices stored as ``.npy``, numbered from 0 in each file. One file is one task."""
+
+    def rows(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                matrix = np.load(io.BytesIO(content), allow_pickle=False)
+                matrix = matrix.reshape(len(matrix), -1).astype(float)
+                for first in range(0, len(matrix), chunk):
+                    part = matrix[first : first + chunk]
+                    yield pd.DataFrame({"node_id": np.arange(first, first + len(part)), "state": list(part)})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, "node_id bigint, state array<double>")
+
+
+def read_npz(spark: SparkSession, path: str) -> DataFrame:
+    """``name, shape, value``: the arrays of ``.npz`` files, flattened row by row; weights of stored probes, for example."""
+
+    def arrays(frames):
+        for frame in frames:
+            for content in frame["content"]:
+                with np.load(io.BytesIO(content), allow_pickle=False) as parts:
+                    for name in parts.files:
+                        yield pd.DataFrame({"name": [name], "shape": [list(map(int, parts[name].shape))], "value": [parts[name].astype(float).ravel()]})
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(arrays, "name string, shape array<int>, value array<double>")
