@@ -11,6 +11,8 @@ field the elected token itself, of a text the one with the smallest token edit d
 from __future__ import annotations
 
 import json
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -220,8 +222,10 @@ def _same(a: dict[str, float], b: dict[str, float]) -> bool:
 def align(a: Profile, b: Profile) -> Profile:
     """The two profiles merged along their best global alignment; equal scores prefer a match, then a gap in b.
 
-    Columns that agree at both ends are matched first. What differs between them is aligned in stretches of at
-    most CHUNK columns, so that very long values take time in proportion to their length.
+    Columns that agree at both ends are matched first. What differs between them is cut at tokens that both have
+    once, in the same order, so that an insertion moves nothing behind the next of them; only where there is none
+    within CHUNK columns are stretches of that length cut off. So very long values take time in proportion to
+    their length.
     """
     weight_a, weight_b = (sum(p[0].values()) if p else 0.0 for p in (a, b))
     head = 0
@@ -232,11 +236,47 @@ def align(a: Profile, b: Profile) -> Profile:
         tail += 1
     out = [_merged(x, y) for x, y in zip(a[:head], b[:head])]
     mid_a, mid_b = a[head : len(a) - tail], b[head : len(b) - tail]
-    for first in range(0, max(len(mid_a), len(mid_b)), CHUNK):
-        out += _aligned(mid_a[first : first + CHUNK], mid_b[first : first + CHUNK], weight_a, weight_b)
+    i = j = 0
+    for x, y in [*_anchors(mid_a, mid_b), (len(mid_a), len(mid_b))]:
+        while max(x - i, y - j) > CHUNK:  # no anchor near enough
+            out += _aligned(mid_a[i : min(i + CHUNK, x)], mid_b[j : min(j + CHUNK, y)], weight_a, weight_b)
+            i, j = min(i + CHUNK, x), min(j + CHUNK, y)
+        out += _aligned(mid_a[i:x], mid_b[j:y], weight_a, weight_b)
+        i, j = x, y
     return out + [_merged(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :])]
 
 
+def _anchors(a: Profile, b: Profile) -> list[tuple[int, int]]:
+    """Places to cut two long profiles at, in both increasing: columns whose heaviest token is found once on each side.
+
+    The longest increasing chain of such pairs, thinned out to what lies at least half of CHUNK apart. Short
+    profiles need none.
+    """
+    if max(len(a), len(b)) <= CHUNK:
+        return []
+    leaders = [[max(sorted(c), key=lambda t: c[t]) for c in p] for p in (a, b)]
+    once = [{t for t, n in Counter(side).items() if n == 1 and t != GAP} for side in leaders]
+    at = {t: j for j, t in enumerate(leaders[1]) if t in once[1]}
+    pairs = [(i, at[t]) for i, t in enumerate(leaders[0]) if t in once[0] and t in at]
+    ends: list[int] = []
+    last: list[int] = []  # index of the pair that ends the shortest chain of each length
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        n = bisect_left(ends, j)
+        before[k] = last[n - 1] if n else -1
+        ends[n:n + 1], last[n:n + 1] = [j], [k]
+    chain = []
+    k = last[-1] if last else -1
+    while k >= 0:
+        chain.append(pairs[k])
+        k = before[k]
+    out: list[tuple[int, int]] = []
+    for i, j in reversed(chain):
+        if i - (out[-1][0] if out else 0) >= CHUNK // 2 or j - (out[-1][1] if out else 0) >= CHUNK // 2:
+            out.append((i, j))
+    return out
+
+
 def _aligned(a: Profile, b: Profile, weight_a: float, weight_b: float) -> Profile:
     left = lambda c: {**c, GAP: c.get(GAP, 0.0) + weight_b}
     right = lambda c: {**c, GAP: c.get(GAP, 0.0) + weight_a}

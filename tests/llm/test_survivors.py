@@ -110,3 +110,17 @@ def test_very_long_values(spark):
     df = spark.createDataFrame([(1, long, 2.0, 1), (1, other, 1.0, 2)], "k int, v string, w double, id int")
     assert consensus(df, ["k"], F.col("v"), F.col("w"), F.col("id")).first()["value"] == long
     assert s.CHUNK < 20_000
+
+
+def test_insertions_move_nothing_in_very_long_values(monkeypatch):
+    monkeypatch.setattr(s, "CHUNK", 60)
+    r = random.Random(6)
+    base = [f"w{i}" if i % 3 else "the" for i in range(900)]
+    versions = [base]
+    for k in range(4):
+        own = list(base)
+        own[40 + k : 40 + k] = [f"new{k}{i}" for i in range(25)]
+        del own[500 + 7 * k : 505 + 7 * k]
+        own[r.randrange(600, 850)] = "typo"
+        versions.append(own)
+    assert elected(profile_of([" ".join(v) for v in versions], [1.0] * 5)) == base
