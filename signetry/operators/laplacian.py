@@ -21,6 +21,7 @@ from .events import message_edges
 
 DENSE = 4_096  # nodes
 HELD = 16_000_000  # numbers per vector block on the driver: 128 MB
+HELD_EDGES = 2_000_000  # edges that the driver multiplies with
 BLOCK = 65_536
 
 
@@ -126,6 +127,23 @@ def _multiplier(conducting: DataFrame, n: int):
     return times, doubled
 
 
+def _held_multiplier(conducting: DataFrame, n: int):
+    """Multiplication of the Laplacian held on the driver, and its diagonal."""
+    rows = message_edges(conducting).groupBy("source", "target").agg(F.sum("c").alias("c")).toPandas().sort_values(["source", "target"])
+    u, v, c = (rows[k].to_numpy() for k in ("source", "target", "c"))
+    starts = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
+    diagonal = np.bincount(u, c, n) if len(u) else np.zeros(n)
+
+    def times(x: np.ndarray) -> np.ndarray:
+        out = diagonal[:, None] * x
+        for first in range(0, x.shape[1] if len(u) else 0, 16):  # bounds what a step holds
+            own = slice(first, first + 16)
+            out[u[starts], own] -= np.add.reduceat(c[:, None] * x[v, own], starts, axis=0)
+        return out
+
+    return times, diagonal
+
+
 def _conjugate(times, diagonal: np.ndarray, rhs: np.ndarray, rtol: float, atol: float, steps: int, ones: float = 0.0) -> np.ndarray:
     """All right-hand sides at once by Jacobi-preconditioned conjugate gradients; ``ones`` adds that multiple of 11^T."""
     x = np.zeros_like(rhs)
@@ -166,15 +184,19 @@ def _lower_inverse(lower: np.ndarray, least: int = 64) -> np.ndarray:
 class Solver:
     """Systems with a connected Laplacian over the nodes 0..n-1, right-hand sides being driver-held columns.
 
+    Few nodes are factored once. Otherwise conjugate gradients multiply with edges held on the driver, up to ``held``
+    of them, or left where they are, every step being a job.
     ``grounded`` fixes the last node at 0, which keeps differences between nodes; otherwise 11^T/n is added, which
     gives the pseudo-inverse for centred right-hand sides.
     """
 
-    def __init__(self, conducting: DataFrame, n: int, grounded: bool = False, rtol: float = 1e-7, atol: float = 1e-10, steps: int = 10_000, dense: int = DENSE) -> None:
+    def __init__(self, conducting: DataFrame, n: int, grounded: bool = False, rtol: float = 1e-7, atol: float = 1e-10, steps: int = 10_000, dense: int = DENSE, held: int = HELD_EDGES) -> None:
         self.n, self.grounded, self.rtol, self.atol, self.steps = n, grounded, rtol, atol, steps
         self.matrix = _dense(conducting, n) if n <= dense else None
         self.inverse = None
-        if self.matrix is None:
+        if self.matrix is None and conducting.limit(held + 1).count() <= held:
+            self.times, self.diagonal = _held_multiplier(conducting, n)
+        elif self.matrix is None:
             self.times, self.kept = _multiplier(conducting, n)
             degrees = message_edges(conducting).groupBy("source").agg(F.sum("c").alias("d")).toPandas()
             self.diagonal = np.zeros(n)
