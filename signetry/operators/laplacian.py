@@ -22,6 +22,7 @@ from .events import message_edges
 DENSE = 4_096  # nodes
 HELD = 16_000_000  # numbers per vector block on the driver: 128 MB
 HELD_EDGES = 2_000_000  # edges that the driver multiplies with
+AT_ONCE = 4_000_000  # numbers that a multiplication holds besides
 BLOCK = 65_536
 
 
@@ -129,16 +130,23 @@ def _multiplier(conducting: DataFrame, n: int):
 
 def _held_multiplier(conducting: DataFrame, n: int):
     """Multiplication of the Laplacian held on the driver, and its diagonal."""
-    rows = message_edges(conducting).groupBy("source", "target").agg(F.sum("c").alias("c")).toPandas().sort_values(["source", "target"])
-    u, v, c = (rows[k].to_numpy() for k in ("source", "target", "c"))
+    rows = conducting.select(F.col("source").cast("int"), F.col("target").cast("int"), "c").toPandas()
+    one, two, c = (rows[k].to_numpy() for k in ("source", "target", "c"))
+    del rows
+    u, v, c = np.concatenate([one, two]), np.concatenate([two, one]), np.concatenate([c, c])
+    order = np.argsort(u, kind="stable")
+    u, v, c = u[order], v[order], c[order]
     starts = np.flatnonzero(np.append(True, u[1:] != u[:-1])) if len(u) else np.zeros(0, np.int64)
     diagonal = np.bincount(u, c, n) if len(u) else np.zeros(n)
+    some = max(1, AT_ONCE // max(len(u), 1))
 
     def times(x: np.ndarray) -> np.ndarray:
         out = diagonal[:, None] * x
-        for first in range(0, x.shape[1] if len(u) else 0, 16):  # bounds what a step holds
-            own = slice(first, first + 16)
-            out[u[starts], own] -= np.add.reduceat(c[:, None] * x[v, own], starts, axis=0)
+        for first in range(0, x.shape[1] if len(u) else 0, some):
+            own = slice(first, first + some)
+            part = x[v, own]
+            part *= c[:, None]
+            out[u[starts], own] -= np.add.reduceat(part, starts, axis=0)
         return out
 
     return times, diagonal
