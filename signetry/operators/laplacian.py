@@ -22,7 +22,7 @@ from .events import message_edges
 DENSE = 4_096  # nodes
 HELD = 16_000_000  # numbers per vector block on the driver: 128 MB
 HELD_EDGES = 2_000_000  # edges that the driver multiplies with
-AT_ONCE = 4_000_000  # numbers that a multiplication holds besides
+AT_ONCE = 2_000_000  # numbers that a multiplication holds besides
 BLOCK = 65_536
 
 
@@ -276,8 +276,8 @@ def held_values(values: DataFrame, n: int) -> np.ndarray:
     count, width = values.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("value")), F.lit(0))).first()
     if max(n, count) * max(width, 1) > HELD:
         raise ValueError("too many numbers for the driver")
-    rows = values.toPandas()
+    rows = values.select("node_id", *[F.col("value")[i].alias(f"x{i}") for i in range(width)]).toPandas()
     out = np.zeros((n, width))
-    if len(rows):
-        out[rows["node_id"].to_numpy()] = np.array(rows["value"].tolist(), float)
+    for i in range(width):
+        out[rows["node_id"].to_numpy(), i] = rows[f"x{i}"].to_numpy()
     return out
