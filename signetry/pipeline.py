@@ -14,8 +14,8 @@ from .operators.encoders import ENCODERS, EncoderConfig, spectral_features
 from .operators.events import apply_ids, build_events, fingerprint, keep_last, sorted_ids
 from .operators.splits import check_splits, split_snapshot
 from .session import stored
-from .sources.artifacts import write_dataset
-from .sources.readers import DATASETS, read_raw, resolve_dataset
+from .sources.artifacts import cached_table, write_dataset
+from .sources.readers import DATASETS, check_checksum, read_raw, resolve_dataset
 
 
 @dataclass(frozen=True)
@@ -54,8 +54,10 @@ def preprocess(raw: DataFrame, temporal: bool, seed: int = 0, ratios: tuple[floa
     return Prepared(splits, kept, mapping.select("node_id", F.col("raw_id").alias("build_node_id")), n)
 
 
-def build_dataset(spark: SparkSession, name: str, path: str, output: str, seed: int = 0, overwrite: bool = False) -> dict:
-    """A raw file of a known data set preprocessed and written; the manifest is returned."""
+def build_dataset(spark: SparkSession, name: str, path: str, output: str, seed: int = 0, overwrite: bool = False, sha256: str | None = None) -> dict:
+    """A raw file of a known data set preprocessed and written; the manifest is returned. A wrong ``sha256`` is an error."""
+    if sha256:
+        check_checksum(spark, path, sha256)
     spec = DATASETS[resolve_dataset(name)[0]]
     done = preprocess(read_raw(spark, path, spec["format"]), spec["temporal"], seed)
     return write_dataset(done.splits, done.events, done.mapping, output, ["event_id"], overwrite)
@@ -65,10 +67,15 @@ def estimate_k(train: DataFrame, minimum_size: int, seeds: list[int] | None = No
     return communities.estimate_k(train, minimum_size, seeds or list(range(10))).first()["selected_k"]
 
 
-def train_state(train: DataFrame, n: int, encoder: str = "undirected", config: EncoderConfig | None = None, seed: int = 0) -> DataFrame:
-    """Node states: spectral features and, on top of them, a trained encoder."""
+def train_state(train: DataFrame, n: int, encoder: str = "undirected", config: EncoderConfig | None = None, seed: int = 0, cache: str | None = None) -> DataFrame:
+    """Node states: spectral features and, on top of them, a trained encoder.
+
+    With a folder as ``cache`` the features of a graph are made once and taken from there by its fingerprint.
+    """
     config = config or EncoderConfig()
-    features, _ = spectral_features(train, n, min(config.input_dimension, n))
+    width = min(config.input_dimension, n)
+    make = lambda: spectral_features(train, n, width)[0]
+    features = cached_table(train.sparkSession, cache, f"{fingerprint(train).first()['fingerprint']}_{n}_{width}", make) if cache else make()
     return ENCODERS[encoder]().states(train, features, config, [seed]).select("node_id", "state")
 
 

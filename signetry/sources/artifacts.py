@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -145,10 +146,18 @@ def check_measurement(record: dict, graph: str, state: str, eta: float, alpha: f
 
 
 def cached_table(spark: SparkSession, root: str, key: str, make) -> DataFrame:
-    """The table kept under a key such as a fingerprint, made and written the first time."""
+    """The table kept under a key such as a fingerprint, made and written the first time.
+
+    It is written beside its place and renamed, so nobody reads half a table; of several writers the first stays.
+    """
     path = f"{root}/{key}"
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        write_table(make(), path, overwrite=True)
+        beside = f"{root}/.{key}.{uuid.uuid4().hex}"
+        write_table(make(), beside)
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        files = hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if path_exists(spark, path) or not files.rename(hadoop(beside), hadoop(path)):
+            delete_path(spark, beside)
     return spark.read.parquet(path)
 
 

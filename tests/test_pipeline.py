@@ -159,7 +159,7 @@ def test_catalogue_is_consistent(spark):
     assert first.count() > 0
 
 
-def test_commands_run_one_after_another(spark, tmp_path):
+def test_commands_run_one_after_another(spark, tmp_path, monkeypatch):
     from signetry.__main__ import main
 
     r = random.Random(3)
@@ -176,6 +176,19 @@ def test_commands_run_one_after_another(spark, tmp_path):
     main(["train", edges, f"{root}/state", "--dimension", "6", "--epochs", "10"])
     main(["measure", edges, f"{root}/state", "--k", "2", "--output", f"{root}/measure"])
     assert artifacts.read_record(spark, f"{root}/measure")["polarization"] > 0
+    main(["communities", data, "--minimum-size", "2", "--seeds", "2"])  # as it is
+    with pytest.raises(artifacts.StaleResult):
+        main(["communities", data, "--minimum-size", "3", "--seeds", "2"])
+    assert spark.read.csv(f"{data}/communities_seed_1", header=True).count() > 0
+    main(["evaluate", data, f"{root}/state", "--measurement", f"{root}/measure"])
+    with pytest.raises(artifacts.StaleResult):
+        main(["evaluate", data, f"{root}/state", "--measurement", f"{root}/measure", "--eta", "0.2"])
+    tune = ["tune", data, f"{root}/tuned", "--seeds", "1", "--dimensions", "4", "6", "--learning-rates", "0.01", "--epoch-choices", "5", "--cache", f"{root}/features"]
+    main(tune)
+    with monkeypatch.context() as m:
+        m.setattr(pipeline, "train_state", lambda *a: 1 / 0)
+        main([*tune, "--prune"])
+    assert spark.read.parquet(f"{root}/tuned/selected_runs").count() == 1
     main(["prepare", f"{root}/state", f"{root}/prepared", "--k", "3", "--minimum-size", "2"])
     main(["sample-candidates", f"{root}/prepared", edges, f"{root}/pool", "--cap", "40"])
     main(["select", edges, f"{root}/state", f"{root}/pool", f"{root}/selection", "--k", "2", "--rate", "0.02"])
