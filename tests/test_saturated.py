@@ -18,3 +18,7 @@ def full(spark, monkeypatch):
 
 def test_augment_edges_adds_what_is_free(spark, full):
     assert mitigation.augment_edges(spark, "").count() == len(full) + 1
+
+
+def test_edge_jaccard_holds_without_enough_free_pairs(spark, full):
+    assert mitigation.edge_jaccard(spark, "").first()["jaccard"] == 0.333333
