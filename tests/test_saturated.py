@@ -28,3 +28,7 @@ def test_non_edges_gives_all_there_are(spark, full):
     assert [tuple(r) for r in mitigation.non_edges(spark, "").collect()] == [(2, 5, 1)]
     got = iv.non_edges(18, mitigation.vector_graph(), 4, "7", small=5, strict=False)
     assert [tuple(r)[:2] for r in got.collect()] == [(2, 5)]
+
+
+def test_random_baseline_adds_what_is_free(spark, full):
+    assert mitigation.random_baseline(spark, "").count() == len(full) + 1
