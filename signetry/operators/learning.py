@@ -28,12 +28,12 @@ def forbidden_pairs(base_train: DataFrame, train: DataFrame, val: DataFrame, tes
 
 
 def three_class_examples(base_train: DataFrame, train: DataFrame, val: DataFrame, test: DataFrame, num_nodes: int, seed: int = 0, directed: bool = False) -> DataFrame:
-    """``split, source, target, label``: signed edges and as many hashed non-edges per split."""
+    """``split, source, target, label``: signed edges and as many hashed non-edges per split, or all there are."""
     forbidden = stored(forbidden_pairs(base_train, train, val, test))
     out = None
     for split, part in zip(SPLITS, (train, val, test)):
         signed = part.select(F.lit(split).alias("split"), "source", "target", three_class_label().alias("label"))
-        free = non_edges(num_nodes, forbidden.where(F.col("split") == split), part.count(), f"{seed}|{split}")
+        free = non_edges(num_nodes, forbidden.where(F.col("split") == split), part.count(), f"{seed}|{split}", strict=False)
         flip = (hash_uniform(f"{seed}|{split}|way", "source", "target") < 0.5) if directed else F.lit(False)
         none = free.select(
             F.lit(split).alias("split"), F.when(flip, F.col("target")).otherwise(F.col("source")).alias("source"), F.when(flip, F.col("source")).otherwise(F.col("target")).alias("target"), F.lit(2).alias("label")

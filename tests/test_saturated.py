@@ -32,3 +32,9 @@ def test_non_edges_gives_all_there_are(spark, full):
 
 def test_random_baseline_adds_what_is_free(spark, full):
     assert mitigation.random_baseline(spark, "").count() == len(full) + 1
+
+
+def test_three_class_examples_with_too_few_free_pairs(spark, full):
+    train, none = mitigation.vector_graph(), mitigation.vector_graph().limit(0)
+    labels = [r["label"] for r in learning.three_class_examples(train, train, none, none, 18, 3).collect()]
+    assert labels.count(2) == 1 and len(labels) == len(full) + 1
