@@ -3,7 +3,7 @@
 Both vectors of a node are brought to unit length and joined to one. Random-hyperplane signatures put similar
 nodes into common cells; every node of a cell is linked to the first node of the cell only, so a cell of any size
 gives links in proportion to its nodes. Nodes without a smaller similar node are then compared with each other
-exactly, block by block. Links are verified, their weight is the smaller cosine; shortcuts along smaller and
+exactly, however many there are: the leaves of a tree over their shorter vectors meet as far as these can be similar. Links are verified, their weight is the smaller cosine; shortcuts along smaller and
 smaller nodes bring the nodes of a group near to each other in the graph. Several vectors, each a column of one
 distributed table, start at the nodes without a smaller one and are iterated with the normalised affinities.
 k-means over the embedding makes the clusters: seeds are the occupied cells of a grid over the embedding, centres
@@ -26,9 +26,10 @@ from ..session import discard, spread, stored
 COSINE = 0.85
 SMALLEST = 5
 FIRST_TABLES, TABLES = 8, 32
-EXACT = 200_000  # nodes without a smaller similar node that are all compared with each other
-BLOCK, PAIR_BLOCK = 16_384, 4_096
-MISSED = 1e-3  # share of pairs at the limit that share no cell, beyond EXACT
+BLOCK, PAIR_BLOCK = 131_072, 4_096
+LEAVES, LEAST = 8, 4_096  # leaves that even few nodes are spread over, if these have so many nodes each
+TILE = 1_024  # nodes compared at once
+MISSED = 1e-3  # share of pairs at the limit that share no cell, where a caller allows that
 JUMPS = 3  # doublings of the way a shortcut goes
 VECTORS = 4
 STEPS = 12
@@ -118,13 +119,13 @@ def _cell_links(nodes: DataFrame, bits: int, tables: int, widths: tuple[int, int
     return out.where(F.col("weight") >= cosine)
 
 
-def affinity_links(nodes: DataFrame, widths: tuple[int, int] = (64, 8), cosine: float = COSINE, exact: int | None = EXACT) -> DataFrame:
+def affinity_links(nodes: DataFrame, widths: tuple[int, int] = (64, 8), cosine: float = COSINE, exact: int | None = None) -> DataFrame:
     """``source, target, weight`` with ``source < target``: verified links between similar nodes, each pair once.
 
     A few tables link nodes to the first node of each of their cells. Whoever has a smaller similar node then is
-    reached through it; the others are compared with each other, up to ``exact`` of them (None: any number) all
-    pairs, so that every two members of a whole group are joined by links. More of them go through as many tables
-    as keep the recall of a pair at the limit at 1 - MISSED for any number of bits.
+    reached through it; the others are compared with each other, whatever their number, so that every two members
+    of a whole group are joined by links. A caller may set ``exact``: more of them than that go through as many
+    tables as keep the recall of a pair at the limit at 1 - MISSED for any number of bits.
     """
     n = nodes.count()
     bits = min(60, max(10, math.ceil(math.log2(n + 1)) + 6))
@@ -141,34 +142,111 @@ def affinity_links(nodes: DataFrame, widths: tuple[int, int] = (64, 8), cosine:
     return found.groupBy("source", "target").agg(F.max("weight").alias("weight"))
 
 
+def _tree(points: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Borders ``(low, high)`` of 2 ** ``depth`` boxes that fill the space, each cut at the median of its widest place."""
+    width = points.shape[1]
+
+    def cut(own: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> list:
+        if not depth:
+            return [(low, high)]
+        place = int((own.max(0) - own.min(0)).argmax()) if len(own) else 0
+        at = np.float32(np.median(own[:, place])) if len(own) else min(max(np.float32(0), low[place]), high[place])
+        left, right = high.copy(), low.copy()
+        left[place] = right[place] = at
+        beyond = own[:, place] >= at
+        return cut(own[~beyond], low, left, depth - 1) + cut(own[beyond], right, high, depth - 1)
+
+    return cut(points, np.full(width, -np.inf, np.float32), np.full(width, np.inf, np.float32), depth)
+
+
+def _tiles(x: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """An order of the rows by halves of their widest places, and slices of it of at most TILE rows."""
+
+    def halved(own: np.ndarray) -> list[np.ndarray]:
+        if len(own) <= TILE:
+            return [own]
+        part = x[own]
+        own = own[np.argpartition(part[:, int((part.max(0) - part.min(0)).argmax())], len(own) // 2)]
+        return halved(own[: len(own) // 2]) + halved(own[len(own) // 2 :])
+
+    parts = halved(np.arange(len(x))) if len(x) else []
+    ends = np.cumsum([0, *map(len, parts)])
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64), [slice(*e) for e in zip(ends, ends[1:])]
+
+
 def _block_links(nodes: DataFrame, n: int, widths: tuple[int, int], cosine: float) -> DataFrame:
-    """Verified links among all pairs of nodes, block by block."""
+    """Verified links among all pairs of nodes.
+
+    Similar nodes are no further apart in the narrower vector than a chord. Nodes stand in the leaf of a tree over
+    that vector, and go to all leaves within the chord; within two leaves tiles within the chord are compared. The
+    tree is cut by some of the nodes, which decides on the size of the leaves alone; larger ones are split by hash.
+    """
     width, split = sum(widths), widths[0]
     narrow = slice(0, split) if widths[0] <= widths[1] else slice(split, width)
-    blocks = max(1, math.ceil(n / BLOCK))
+    chord = 2 - 2 * (cosine - 1e-3)  # its square, with room for rounding
+    depth = max(math.ceil(math.log2(max(n, 1) / BLOCK)), min(round(math.log2(LEAVES)), math.floor(math.log2(max(n, 1) / LEAST))), 0)
+    some = nodes.where(F.pmod(F.xxhash64("node_id", F.lit(1)), F.lit(max(1, n // max(20_000, 64 << depth)))) == 0)
+    rows = some.select("z").toArrow()["z"].combine_chunks() if depth else pa.array([], pa.list_(pa.float32()))
+    boxes = _tree(_matrix(rows, width)[:, narrow], depth)
+    low, high = (np.stack(side) for side in zip(*boxes))
+
+    @F.arrow_udf(T.IntegerType())
+    def leaf(z: pa.Array) -> pa.Array:
+        x = _matrix(z, width)[:, narrow]
+        at = np.zeros(len(x), np.int32)
+        for k in range(len(low)):
+            at[((x >= low[k]) & (x < high[k])).all(1)] = k
+        return pa.array(at)
+
+    placed = nodes.withColumn("leaf", leaf("z"))
+    sizes = {r["leaf"]: r["n"] for r in placed.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).collect()}
+    parts = [max(1, math.ceil(sizes.get(k, 0) / BLOCK)) for k in range(len(low))]
+    first = np.cumsum([0, *parts])
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def reached(z: pa.Array) -> pa.Array:
+        x = _matrix(z, width)[:, narrow]
+        near = np.stack([(np.maximum(np.maximum(low[k] - x, x - high[k]), 0) ** 2).sum(1) <= chord for k in range(len(low))], 1)
+        near = np.repeat(near, parts, axis=1)
+        ends = np.concatenate([[0], np.cumsum(near.sum(1))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32)))
 
     def similar(rows: pa.Table) -> pa.Table:
         z = _matrix(rows["z"].combine_chunks(), width)
         ids, block = rows["node_id"].to_numpy(), rows["block"].to_numpy()
-        one, two = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
-        if rows["low"][0].as_py() != rows["high"][0].as_py() and block.min() == block.max():
-            one = one[:0]  # the other block is empty
+        same = rows["low"][0].as_py() == rows["high"][0].as_py()
+        sides = []
+        for own in (rows["low"][0].as_py(), rows["high"][0].as_py())[: 1 if same else 2]:
+            at = np.flatnonzero(block == own)
+            order, tiles = _tiles(z[at, narrow])
+            at = at[order]
+            x = np.ascontiguousarray(z[at, narrow])
+            sides.append((at, x, tiles, np.array([x[t].min(0) for t in tiles]), np.array([x[t].max(0) for t in tiles])))
+        (one, x, tiles, least, most), (two, y, others, lows, highs) = sides[0], sides[-1]
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(one), 1024):
-            left = one[at : at + 1024]
-            a, b = np.nonzero(z[left, narrow] @ z[two, narrow].T >= cosine - 1e-4)  # the narrower vector rules most out
-            a, b = left[a], two[b]
-            keep = (ids[a] < ids[b]) | (block[a] != block[b])
-            a, b = a[keep], b[keep]
-            p = z[a].astype(np.float64) * z[b]
-            weight = np.minimum(p[:, :split].sum(1), p[:, split:].sum(1))
-            fine = weight >= cosine
-            s, t = ids[a[fine]], ids[b[fine]]
-            out.append((np.minimum(s, t), np.maximum(s, t), weight[fine]))
+        for k, t in enumerate(tiles):
+            if not others:
+                break
+            apart = (np.maximum(np.maximum(lows - most[k], least[k] - highs), 0) ** 2).sum(1)
+            for j in np.flatnonzero(apart <= chord):
+                if same and j < k:
+                    continue
+                hit = np.flatnonzero(x[t] @ y[others[j]].T >= cosine - 1e-4)  # the narrower vector rules most out
+                a, b = np.divmod(hit, others[j].stop - others[j].start)
+                if same and j == k:
+                    a, b = a[a < b], b[a < b]
+                for at in range(0, len(a), 65_536):
+                    c, d = one[t][a[at : at + 65_536]], two[others[j]][b[at : at + 65_536]]
+                    p = z[c].astype(np.float64) * z[d]
+                    weight = np.minimum(p[:, :split].sum(1), p[:, split:].sum(1))
+                    fine = weight >= cosine
+                    s, e = ids[c[fine]], ids[d[fine]]
+                    out.append((np.minimum(s, e), np.maximum(s, e), weight[fine]))
         return pa.table(dict(zip(("source", "target", "weight"), map(np.concatenate, zip(*out)))))
 
-    placed = nodes.withColumn("block", F.pmod(F.xxhash64("node_id"), F.lit(blocks)))
-    met = placed.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    starts, several = F.array(*map(F.lit, first.tolist())), F.array(*map(F.lit, parts))
+    block = (starts[F.col("leaf")] + F.pmod(F.xxhash64("node_id"), several[F.col("leaf")])).cast("int")
+    met = placed.withColumn("block", block).withColumn("k", F.explode(reached("z")))
     pairs = met.select("node_id", "z", "block", F.least("block", "k").alias("low"), F.greatest("block", "k").alias("high"))
     return pairs.groupBy("low", "high").applyInArrow(similar, "source bigint, target bigint, weight double")
 
@@ -275,7 +353,7 @@ def embedding_kmeans(state: DataFrame, vectors: int = VECTORS, rounds: int = ROU
     return placed.select("node_id", "pool").join(assigned, "pool").select("node_id", "centre")
 
 
-def spectral_clusters(nodes: DataFrame, widths: tuple[int, int] = (64, 8), cosine: float = COSINE, exact: int | None = EXACT, steps: int = STEPS, rounds: int = ROUNDS) -> DataFrame:
+def spectral_clusters(nodes: DataFrame, widths: tuple[int, int] = (64, 8), cosine: float = COSINE, exact: int | None = None, steps: int = STEPS, rounds: int = ROUNDS) -> DataFrame:
     """``node_id, cluster_id, closed, z`` of every node that is similar to another; ``cluster_id`` is the smallest member.
 
     ``closed`` is false for clusters with a verified link to a node outside. ``nodes`` has ``node_id, z``. No
