@@ -76,7 +76,7 @@ def train_state(train: DataFrame, n: int, encoder: str = "undirected", config: E
     width = min(config.input_dimension, n)
     make = lambda: spectral_features(train, n, width)[0]
     features = cached_table(train.sparkSession, cache, f"{fingerprint(train).first()['fingerprint']}_{n}_{width}", make) if cache else make()
-    return ENCODERS[encoder]().states(train, features, config, [seed]).select("node_id", "state")
+    return ENCODERS[encoder]().trained_states(train, features, config, [seed]).select("node_id", "state")
 
 
 def measure(train: DataFrame, state: DataFrame, k: int, profile: Profile = SMALL) -> DataFrame:
