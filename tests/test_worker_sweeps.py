@@ -44,3 +44,9 @@ def test_hubs_and_plain_lists_give_the_same_moves(monkeypatch):
         monkeypatch.setattr(communities, "HUB", hub)
         out.append(communities._Swept(n, rows[:, 0], rows[:, 1], rows[:, 2] > 0, np.ones(len(rows))).run(ways, 6, 1e-7))
     assert (out[0] == out[1]).all() and (out[0] == out[2]).all()
+
+
+def test_nodes_without_edges_stay_alone(spark):
+    edges = spark.createDataFrame([], "source bigint, target bigint, sign int")
+    nodes = spark.range(5).withColumnRenamed("id", "node_id")
+    assert sorted(map(tuple, communities.sweep_communities(edges, nodes).collect())) == [(i, i) for i in range(5)]
