@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signetry.operators import interventions as iv
@@ -34,3 +35,14 @@ def test_batches_by_workers_are_those_of_the_factored_matrix(problem, monkeypatc
     whole = iv.batched_greedy(*problem[:3], 9, 3, problem[3], equal=True).collect()
     _by_workers(monkeypatch)
     assert iv.batched_greedy(*problem[:3], 9, 3, problem[3], equal=True).collect() == whole and len(whole) == 9
+
+
+def test_curve_by_workers_is_that_of_the_factored_matrix(problem, monkeypatch):
+    edges, values, pool, n = problem
+    chosen = pool.limit(6).withColumn("selection_step", F.row_number().over(Window.orderBy("sample_rank")))
+    curve = lambda: [tuple(r) for r in iv.prefix_energies(edges, values, chosen, [2, 5, 6], n).orderBy("budget").collect()]
+    whole = curve()
+    _by_workers(monkeypatch)
+    for one, other in zip(whole, curve(), strict=True):
+        assert one == pytest.approx(other, rel=1e-6, abs=1e-6)
+    assert whole[0][1] > whole[1][1] > whole[3][1]
