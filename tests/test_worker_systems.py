@@ -4,7 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from signetry.operators import interventions as iv
-from signetry.operators.systems import hashed_words
+from signetry.operators.systems import WorkerSystems, hashed_words
 
 
 @pytest.fixture(scope="module")
@@ -46,3 +46,13 @@ def test_curve_by_workers_is_that_of_the_factored_matrix(problem, monkeypatch):
     for one, other in zip(whole, curve(), strict=True):
         assert one == pytest.approx(other, rel=1e-6, abs=1e-6)
     assert whole[0][1] > whole[1][1] > whole[3][1]
+
+
+def test_order_by_workers_is_that_of_the_factored_matrix(problem, monkeypatch):
+    """The second case solves for two candidates at a time, so that choices after the first need further ones."""
+    edges, values, pool, n = problem
+    whole = iv.greedy_order(edges, values, pool, 12, n).collect()
+    _by_workers(monkeypatch)
+    assert iv.greedy_order(edges, values, pool, 12, n).collect() == whole and len(whole) == 12
+    monkeypatch.setattr(WorkerSystems, "ahead", lambda self, wanted: 2)
+    assert iv.greedy_order(edges, values, pool, 4, n).collect() == whole[:4]
