@@ -56,3 +56,10 @@ def test_order_by_workers_is_that_of_the_factored_matrix(problem, monkeypatch):
     assert iv.greedy_order(edges, values, pool, 12, n).collect() == whole and len(whole) == 12
     monkeypatch.setattr(WorkerSystems, "ahead", lambda self, wanted: 2)
     assert iv.greedy_order(edges, values, pool, 4, n).collect() == whole[:4]
+
+
+def test_global_baseline_by_workers(problem, monkeypatch):
+    edges, values, _, n = problem
+    whole = iv.global_baseline(edges, values, n, 30, 5).collect()
+    _by_workers(monkeypatch)
+    assert iv.global_baseline(edges, values, n, 30, 5).collect() == whole and len(whole) == 5
